@@ -63,3 +63,23 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder; it goes when this process ends."""
+    import atexit
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session may be gone already
+            pass
+
+    atexit.register(drop)
+    return spark.read.parquet(path)
