@@ -42,6 +42,10 @@ class MergeReplay:
                     found[a * self.size + b] = rank
         self.pairs = np.array(sorted(found), np.int64)
         self.pair_rank = np.array([found[k] for k in self.pairs.tolist()], np.int64)
+        # tokens of which a pair merges at a lower rank than they do themselves: there, order within a word counts
+        self.unsafe = np.zeros(self.size, bool)
+        for part in (self.pairs // self.size, self.pairs % self.size):
+            self.unsafe[part[self.pair_rank < part]] = True
         tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -113,6 +117,8 @@ class MergeReplay:
                     place = np.arange(len(at))
                     since = place - np.maximum.accumulate(np.where(chained, 0, place))
                     at = at[since % 2 == 0]
+            if self.unsafe[r]:
+                odd.append(at)
             gone = right[at]
             beyond = right[gone]
             sym[at], sym[gone] = r, -1
@@ -129,9 +135,6 @@ class MergeReplay:
             rank[touched] = -1
             touched, nxt = touched[real], nxt[real]
             rank[touched] = self._rank(sym[touched], sym[nxt])
-            early = touched[(rank[touched] >= 0) & (rank[touched] < r)]
-            if len(early):
-                odd.append(early)
             enter(touched)
         alive = np.flatnonzero(sym >= 0)
         flat = sym[alive].astype("<u4").tobytes()

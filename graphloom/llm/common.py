@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -68,3 +69,10 @@ def sliding(op, x: np.ndarray, n: int) -> np.ndarray:
         x = op(x[: max(0, len(x) - step)], x[step:])
         size += step
     return x
+
+
+def map_rows(df: DataFrame, run, added: list[T.StructField] = ()) -> DataFrame:
+    """mapInArrow over whole rows whatever their names: run sees columns c0, c1, ... in order."""
+    inner = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    schema = T.StructType([*inner.schema.fields, *added])
+    return inner.mapInArrow(run, schema).toDF(*df.columns, *(f.name for f in added))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import columns, gram_hashes, mix, some, texts
+from graphloom.llm.common import columns, gram_hashes, map_rows, mix, some, texts
 from graphloom.session import prepare
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
@@ -182,12 +182,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` in which no window is similar to an item; columns unchanged, no shuffle."""
     spark = prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text):
         shared = spark.sparkContext.broadcast(Items(block, shingle))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in some(batches):
-                yield b.filter(pa.array([not shared.value.find(t, similarity) for t in texts(b, text_col)], pa.bool_()))
+                yield b.filter(pa.array([not shared.value.find(t, similarity) for t in texts(b, f"c{at}")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_rows(docs, run)
     return docs

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphloom.llm.common import fresh, mix, some, strings
+from graphloom.llm.common import fresh, map_rows, mix, some, strings
 from graphloom.session import prepare
 
 UNDECIDED = "und"
@@ -173,15 +174,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def _run(docs: DataFrame, model: Model, text_col: str, keep, lang: str, score: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            found = [shared.value.predict(t) for t in strings(b, text_col)]
+            found = [shared.value.predict(t) for t in strings(b, f"c{at}")]
             out = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield keep(b, out)
 
-    schema = docs.schema if lang is None else docs.schema.fromJson(docs.schema.jsonValue()).add(lang, "string").add(score, "double")
-    return docs.mapInArrow(run, schema)
+    added = [] if lang is None else [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]
+    return map_rows(docs, run, added)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import bpe, decontaminate, langid, lines, simhash
+from graphloom.llm import bpe, counts, decontaminate, langid, lines, simhash, substring, tokens, topk, urls
 from graphloom.session import prepare, table
 
 
@@ -17,6 +17,60 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_to_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: (verdict, host, path)
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+OP3_SQL = """
+with rules(verdict, host, path) as (values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+u as (
+  select page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+  from pages),
+m as (
+  select u.page_id, u.host, u.path, r.host || r.path as rule, r.verdict,
+    row_number() over (partition by u.page_id order by length(r.host || r.path) desc nulls last) as k
+  from u left join rules r on (u.host = r.host or u.host like '%.' || r.host) and starts_with(u.path, r.path))
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from m where k = 1
+"""
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.deduplicate_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantize(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.where("id % 20 = 0"), 20)
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
@@ -54,10 +108,23 @@ from documents d left join kept k on d.doc_id = k.doc_id
 """
 
 
+OPERATORS = (
+    op1_language_id,
+    op2_token_shards,
+    op3_url_filter,
+    op4_substring_dedup,
+    op5_exact_top_k,
+    op6_byte_bpe,
+    op7_token_counts,
+    op8_simhash,
+    op9_decontamination,
+    op10_line_dedup,
+)
+
+
 def queries() -> dict:
-    own = {f.__name__: f for f in (op1_language_id, op6_byte_bpe, op8_simhash, op9_decontamination, op10_line_dedup)}
-    return own | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op10_line_dedup": OP10_SQL}
