@@ -117,10 +117,14 @@ class MergeReplay:
                     place = np.arange(len(at))
                     since = place - np.maximum.accumulate(np.where(chained, 0, place))
                     at = at[since % 2 == 0]
-            if self.unsafe[r]:
-                odd.append(at)
             gone = right[at]
             beyond = right[gone]
+            if self.unsafe[r]:  # one merge at this rank could let a lower rank in before the next one
+                for side, first in ((left[at], True), (beyond, False)):
+                    near = np.flatnonzero((side >= 0) & (side < n))
+                    other = sym[side[near]]
+                    value = self._rank(other, np.full(len(near), r)) if first else self._rank(np.full(len(near), r), other)
+                    odd.append(at[near[(value >= 0) & (value < r)]])
             sym[at], sym[gone] = r, -1
             rank[gone] = -1
             right[at] = beyond
@@ -135,6 +139,8 @@ class MergeReplay:
             rank[touched] = -1
             touched, nxt = touched[real], nxt[real]
             rank[touched] = self._rank(sym[touched], sym[nxt])
+            if self.unsafe[r]:
+                odd.append(touched[(rank[touched] >= 0) & (rank[touched] < r)])
             enter(touched)
         alive = np.flatnonzero(sym >= 0)
         flat = sym[alive].astype("<u4").tobytes()
