@@ -1,0 +1 @@
+"""The engine has no streaming operators: a layout run is a driver loop over checkpointed tables."""
