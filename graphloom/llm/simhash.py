@@ -8,7 +8,8 @@ choice of the other groups is a key. Fingerprints that share a key are compared
 
 Exact copies collapse to one fingerprint before the join. Inside a bucket only a spanning set of links
 goes out, never all pairs; buckets are compared in streaming order, a hot one by breadth-first search
-over the fingerprints not reached yet.
+over the fingerprints not reached yet. The stage on word shingles takes the fingerprints as candidates only,
+and compares the shingle sets of those texts that have one.
 """
 
 from __future__ import annotations
@@ -22,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import columns, fresh, some, texts
+from graphloom.llm.common import columns, fresh, mix, some, texts
 from graphloom.plans.components import connected_components
-from graphloom.session import cut, prepare
+from graphloom.session import cut, prepare, stash
 
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 17
@@ -35,45 +36,63 @@ PASS = 1 << 18
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit, lowest bit first."""
+    """How many of the hashes have each bit, lowest bit first; bytes count up to 255 rows at a time."""
     bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
-    return bits.sum(axis=0, dtype=np.int64)
+    whole = len(bits) // 255 * 255
+    ones = bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return ones + bits[whole:].sum(axis=0, dtype=np.uint8)
 
 
-def simhash(text: bytes | None, shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> list[int]:
-    """One unsigned 64-bit fingerprint for each seed; all zero if the text has no word.
+def words_of(text: bytes | None) -> list[bytes]:
+    """Runs of bytes other than ASCII white space, A-Z lower-cased."""
+    return (text or b"").lower().split()
 
-    Words are runs of bytes other than ASCII white space, A-Z lower-cased; a text of fewer words than
-    a shingle is one shingle. A bit is set if over half of the shingles' XXH64 have it.
-    """
-    words = (text or b"").lower().split()
+
+def shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of every shingle, repeats included, in blocks; fewer words than a shingle are one."""
     if not words:
-        return [0] * len(seeds)
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size) + np.arange(len(words))
     starts = ends - size
     n = max(1, len(words) - shingle + 1)
     starts, ends = starts[:n], ends[min(shingle, len(words)) - 1 :]
-    ones = np.zeros((len(seeds), 64), np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        pieces = [joined[a:b] for a, b in zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)]
-        for k, seed in enumerate(seeds):
-            ones[k] += _ones(np.array([digest(p, seed) for p in pieces], np.uint64))
+        part = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
+        yield np.array([digest(joined[a:b], 42) for a, b in part], np.uint64)
+
+
+def simhash(words: list[bytes], shingle: int = 3, length: int = 1) -> list[int]:
+    """A fingerprint of ``length`` unsigned 64-bit numbers; all zero if there is no word.
+
+    A bit is set if over half of the shingles' hashes have it. The first number takes the XXH64 itself,
+    the others take 64-bit mixes of it.
+    """
+    ones, n = np.zeros((length, 64), np.int64), 0
+    for h in shingle_hashes(words, shingle):
+        n += len(h)
+        for k in range(length):
+            ones[k] += _ones(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h)
     weight = np.uint64(1) << np.arange(64, dtype=np.uint64)
     return [int(weight[2 * row > n].sum(dtype=np.uint64)) for row in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (42,)) -> DataFrame:
-    """(id, f0, f1, ...) for every row; fingerprints as signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, length: int = 1, digest: bool = False) -> DataFrame:
+    """(id, f0, f1, ...) for every row, and the 128-bit hash (d0, d1) of its words if asked; signed longs."""
     prepare(docs.sparkSession)
-    names = [f"f{k}" for k in range(len(seeds))]
+    names = [f"f{k}" for k in range(length)] + (["d0", "d1"] if digest else [])
+
+    def numbers(text: bytes | None) -> list[int]:
+        words = words_of(text)
+        own = simhash(words, shingle, length)
+        return own + list(divmod(xxhash.xxh3_128_intdigest(b" ".join(words)), 1 << 64)) if digest else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            got = np.array([simhash(t, shingle, seeds) for t in texts(b)], np.uint64).reshape(-1, len(seeds))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(len(seeds)))], ["id", *names])
+            got = np.array([numbers(t) for t in texts(b)], np.uint64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(len(names)))], ["id", *names])
 
     return columns(docs, id_col, text_col).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
@@ -156,18 +175,18 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def links(reps: DataFrame, words: int, radius: int, keys) -> DataFrame:
-    """(src, dst) node pairs within the radius, enough of them to connect what is connected.
+def sweep(reps: DataFrame, words: int, keys, work, schema: str) -> DataFrame:
+    """``work(rows)`` over all buckets of the keys: rows are key, the columns of ``reps``, in order of key and node.
 
-    ``reps``: node and f0.. of distinct fingerprints. ``keys``: fingerprints -> arrays of keys.
+    ``reps``: long columns, the first one node, the last ones f0..; buckets stream by and are never divided.
     """
-    names = [f"f{k}" for k in range(words)]
+    names = reps.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            fps = np.stack([b.column(1 + k).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(words)], axis=1)
+            fps = np.stack([c.to_numpy(zero_copy_only=False).view(np.uint64) for c in b.columns[-words:]], axis=1)
             for key in keys(fps):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", *b.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", *names])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -177,8 +196,7 @@ def links(reps: DataFrame, words: int, radius: int, keys) -> DataFrame:
             cut_at = len(x) if final else int(np.searchsorted(x[:, 0], x[-1, 0]))
             done, held[:] = x[:cut_at], [x[cut_at:]]
             if len(done):
-                a, b = bucket_links(done[:, 0], np.ascontiguousarray(done[:, 2:]).view(np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(done[a, 1]), pa.array(done[b, 1])], ["src", "dst"])
+                yield work(done)
 
         for b in some(batches):
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
@@ -187,23 +205,37 @@ def links(reps: DataFrame, words: int, radius: int, keys) -> DataFrame:
         if held:
             yield from flush(True)
 
-    schema = "node long, " + ", ".join(f"{n} long" for n in names)
-    dealt = reps.select("node", *names).mapInArrow(deal, f"key long, {schema}")
-    buckets = dealt.repartition(F.col("key")).sortWithinPartitions("key")
-    return buckets.mapInArrow(join, "src long, dst long")
+    dealt = reps.mapInArrow(deal, "key long, " + ", ".join(f"{n} long" for n in names))
+    return dealt.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(join, schema)
+
+
+def _words(rows: np.ndarray, words: int) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, -words:]).view(np.uint64)
 
 
-def groups(fps: DataFrame, words: int, radius: int, keys) -> DataFrame:
-    """(id, f0.., component_id): each row's fingerprint and the smallest id reachable over links."""
-    names = [f"f{k}" for k in range(words)]
-    node = F.col("f0") if words == 1 else F.xxhash64(*names)
-    fps = cut(fps.withColumn("node", node))
-    reps = cut(fps.groupBy("node", *names).agg(F.min("id").alias("least")))
-    comp = connected_components(links(reps, words, radius, keys)).select(F.col("id").alias("node"), F.col("component").alias("label"))
+def links(reps: DataFrame, words: int, radius: int, keys) -> DataFrame:
+    """(src, dst) node pairs within the radius, enough of them to connect what is connected.
+
+    ``reps``: node and f0.. of distinct fingerprints. ``keys``: fingerprints -> arrays of keys.
+    """
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = bucket_links(rows[:, 0], _words(rows, words), radius)
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
+
+    return sweep(reps.select("node", *(f"f{k}" for k in range(words))), words, keys, work, "src long, dst long")
+
+
+def groups(fps: DataFrame, radius: int) -> DataFrame:
+    """(id, f0, component_id): each row's fingerprint and the smallest id reachable over links."""
+    fps = cut(fps)
+    reps = cut(fps.groupBy(F.col("f0").alias("node")).agg(F.min("id").alias("least")))
+    found = links(reps.withColumn("f0", F.col("node")), 1, radius, lambda x: radius_keys(x, radius))
+    comp = connected_components(found).select(F.col("id").alias("node"), F.col("component").alias("label"))
     reps = reps.join(comp, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     least = reps.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = reps.select("node", "label").join(least, "label").select("node", "component_id")
-    return fps.join(named, "node").select("id", *names, "component_id")
+    named = reps.select(F.col("node").alias("f0"), "label").join(least, "label").select("f0", "component_id")
+    return fps.join(named, "f0").select("id", "f0", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -214,30 +246,146 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows and ids come out as often as they go in; an empty table gives an empty result.
     """
     fps = fingerprints(docs, id_col, text_col, shingle)
-    out = groups(fps, 1, radius, lambda x: radius_keys(x, radius))
-    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    return groups(fps, radius).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Of 128 bits a pair at similarity 0.8 differs in 19.4 on average, with deviation 4.1; the radius is three more.
+LENGTH, WIDE_RADIUS = 2, 32
+#: Sampled keys. Two fingerprints that differ in 22 bits share one with probability 0.999, in 28 bits with 0.96;
+#: over the pairs at similarity 0.8 that is 0.998.
+TABLES, KEY_BITS = 100, 14
+#: Four fifths, the least similarity of near duplicates.
+SIMILARITY = (4, 5)
+#: Nearest candidates that a fingerprint proposes from each bucket in the first round after the stars.
+NEAREST = 8
+#: Pairs that one copy of a shingle set serves.
+SERVED = 1000
 
 
-#: For similarity 0.8 on shingles: expected share of differing bits 0.151, so 19.4 of 128 with deviation 4.1.
-WIDE_SEEDS, WIDE_RADIUS, TABLES, KEY_BITS = (42, 43), 20, 48, 16
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of (id, text) rows: distinct shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            held = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(t), shingle)])) for t in texts(b)]
+            at = np.cumsum([0, *map(len, held)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).view(np.int64)))], ["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The (src, dst) pairs whose shingle sets have the Jaccard similarity or more, exactly.
+
+    The set of a node on many pairs goes out in copies, one for each SERVED pairs, so no task gets them all.
+    """
+    up, down = similarity
+    copies = pairs.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / SERVED).cast("long").alias("copies"))
+    dealt = pairs.join(copies, "src").select("src", "dst", F.pmod(F.xxhash64("dst"), "copies").alias("copy"))
+    left = sets.join(copies.withColumnRenamed("src", "node"), "node").select(F.col("node").alias("src"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
+    both = dealt.join(left, ["src", "copy"]).select("src", "dst", "a").join(right, "dst")
+    same, size = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    near = F.least(F.size("a"), F.size("b")) * down >= F.greatest(F.size("a"), F.size("b")) * up
+    return both.where(near).where(same * (up + down) >= size * up).select("src", "dst")
+
+
+def _stars(reps: DataFrame, radius: int, keys) -> DataFrame:
+    """Candidate pairs, few for each row and bucket, on which every node with a candidate occurs."""
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        a, b = bucket_links(rows[:, 0], _words(rows, LENGTH), radius)
+        if len(a):
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))  # the first later row of each row, and the first earlier one
+            first = order[np.unique(a[order], return_index=True)[1]]
+            order = np.lexsort((a, b))
+            kept = np.union1d(first, order[np.unique(b[order], return_index=True)[1]])
+            a, b = a[kept], b[kept]
+        return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
+
+    found = sweep(reps.select("node", "f0", "f1"), LENGTH, keys, work, "src long, dst long")
+    return found.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
+def _across(live: DataFrame, radius: int, keys, nearest: int) -> DataFrame:
+    """(src, dst, more): candidate pairs of different labels, the ``nearest`` of each row and bucket.
+
+    Of two rows of different labels one at least isn't of the bucket's most frequent label, so only such rows
+    propose. ``more`` tells that some row had further candidates.
+    """
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
+        label, node, fps = rows[:, 2], rows[:, 1], _words(rows, LENGTH)
+        mixed = np.logical_or.reduceat(label != np.repeat(label[edge[:-1]], np.diff(edge)), edge[:-1])
+        src, dst, more = [], [], []
+        for k in np.flatnonzero(mixed):
+            part = slice(edge[k], edge[k + 1])
+            own, ids, f = label[part], node[part], fps[part]
+            names, count = np.unique(own, return_counts=True)
+            for x in np.flatnonzero(own != names[np.argmax(count)]):
+                far = _near(f, f[x])
+                at = np.flatnonzero((far <= radius) & (own != own[x]))
+                full = len(at) > nearest
+                if full:
+                    at = at[np.lexsort((ids[at], far[at]))[:nearest]]
+                src += [int(ids[x])] * len(at)
+                dst += ids[at].tolist()
+                more += [full] * len(at)
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(more, pa.bool_())], ["src", "dst", "more"])
+
+    found = sweep(live.select("node", "label", "f0", "f1"), LENGTH, keys, work, "src long, dst long, more boolean")
+    return found.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("more").alias("more"))
+
+
+def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(node, label) of the nodes similar to another: components of the candidate pairs that hold exactly.
+
+    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0, f1. First each bucket proposes stars. Then
+    rounds propose what is still of different labels, the nearest first, until no row had to leave one out:
+    a pair of candidates is then either in one component or found to be dissimilar.
+    """
+
+    def keys(fps: np.ndarray) -> Iterator[np.ndarray]:
+        return sampled_keys(fps, TABLES, KEY_BITS)
+
+    tested = cut(_stars(reps, radius, keys))
+    live = cut(tested.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(reps, "node"))
+    sets = stash(shingle_sets(docs.join(live.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text"), shingle))
+    true, nearest = cut(similar(tested, sets)), NEAREST
+    while True:
+        label = connected_components(true).select(F.col("id").alias("node"), F.col("component").alias("label"))
+        named = cut(live.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        pairs = cut(_across(named, radius, keys, nearest))
+        more = pairs.agg(F.max("more")).first()[0]
+        new = cut(pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti"))
+        found = cut(similar(new, sets))
+        if not more and found.isEmpty():
+            return label
+        true = cut(true.union(found))
+        if not more:
+            return connected_components(true).select(F.col("id").alias("node"), F.col("component").alias("label"))
+        tested, nearest = cut(tested.union(new)), nearest * 16
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """The rows of ``docs`` less all but one (the smallest id) of each group of near duplicates.
 
-    128-bit SimHash over five-word shingles; a distance of 20 bits stands for a similarity of 0.8.
-    Candidates come from sampled one-bit segments (48 keys of 16 bits: a pair at 0.8 shares one with
-    probability 0.97), and are compared on all 128 bits. Null and wordless texts are one group. Rows
-    with a null id stay. Of repeated rows one stays.
+    Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which is
+    decided by the sets themselves. Candidates are 128-bit SimHash fingerprints within ``radius`` bits that share
+    one of 100 sampled keys of 14 one-bit segments. Texts of the same words are one node. Null and wordless
+    texts are one group. Rows with a null id stay. Rows that share an id are one document, and one stays.
     """
     prepare(docs.sparkSession)
-    fps = fingerprints(docs, id_col, text_col, shingle, WIDE_SEEDS)
-    found = groups(fps, 2, radius, lambda x: sampled_keys(x, TABLES, KEY_BITS))
-    id_, first = fresh("id", docs.columns), fresh("first", docs.columns)
-    keep = found.where("id = component_id").groupBy(F.col("id").alias(id_)).agg(F.count(F.lit(1)).alias(first))
-    keep = cut(keep)
+    known = columns(docs, id_col, text_col).where("id is not null")
+    fps = fingerprints(known, "id", "text", shingle, LENGTH, digest=True)
+    reps = cut(fps.groupBy("d0", "d1").agg(F.min("id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")).drop("d0", "d1"))
+    later = similar_groups(known, reps, shingle, radius).where("label < node").select("node")
+    id_ = fresh("id", docs.columns)
+    keep = cut(reps.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(id_)))
     doc = F.col(f"`{id_col}`")
-    own = docs.join(keep.select(id_), doc.cast("long") == F.col(id_), "left_semi")
-    if not keep.where(F.col(first) > 1).isEmpty():
+    own = docs.join(keep, doc.cast("long") == F.col(id_), "left_semi")
+    if not known.groupBy("id").count().where("count > 1").isEmpty():
         own = own.dropDuplicates([id_col])
     return own.unionByName(docs.where(doc.isNull()))

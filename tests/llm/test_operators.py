@@ -47,6 +47,15 @@ def fingerprint(text, k=3, seed=42):
     return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
 
 
+def shingles(text, k=5):
+    w = WORD.findall((text or "").encode().lower())
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 # --- 1
 
 
@@ -320,6 +329,40 @@ def test_near_duplicate_stage_keeps_one_of_a_group(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch):
+    import random
+
+    # a centre whose copies aren't similar to one another, chains, pairs at 0.8 and just below it; small rounds and copies of sets
+    monkeypatch.setattr(simhash, "NEAREST", 1)
+    monkeypatch.setattr(simhash, "SERVED", 3)
+    rnd = random.Random(8)
+
+    def fresh(n):
+        return [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+
+    texts, w = [], fresh(200)
+    for _ in range(60):
+        c = list(w)
+        for at in rnd.sample(range(5, 195), 4):
+            c[at] = fresh(1)[0]
+        texts.append(c)
+    texts.append(w)
+    for changed in (10, 11) * 6:
+        w = fresh(94)
+        texts += [w, w[:-changed] + fresh(changed)]
+    w = fresh(400)
+    texts += [w[at : at + 150] for at in range(0, 250, 12)]
+    texts += [["short"], ["Short"], ["short", "x"], [], []]
+    rnd.shuffle(texts)
+    data = [(i, " ".join(t), "en", "s", 1, "x", 1, None) for i, t in enumerate(texts)]
+    sets = [shingles(r[1]) for r in data]
+    least = {}
+    for i, c in enumerate(classes(len(data), lambda a, b: similar(sets[a], sets[b]))):
+        least.setdefault(c, i)
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, data)).collect())
+    assert got == sorted(least.values())
+
+
 # --- 9
 
 
