@@ -9,12 +9,12 @@ choice of the other groups is a key. Fingerprints that share a key are compared
 Exact copies collapse to one fingerprint before the join. Inside a bucket only a spanning set of links
 goes out, never all pairs; buckets are compared in streaming order, a hot one by breadth-first search
 over the fingerprints not reached yet. The stage on word shingles takes the fingerprints as candidates only,
-and compares the shingle sets of those texts that have one.
+bounds the overlap of two shingle sets by bitmaps inside the buckets, and compares the sets of what is left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,8 +31,8 @@ from graphloom.session import cut, prepare, stash
 BLOCK = 1 << 17
 #: Buckets up to this size are compared by offset, larger ones by search.
 SMALL = 32
-#: Rows of one vectorised pass over sorted buckets.
-PASS = 1 << 18
+#: Numbers of one vectorised pass over sorted buckets.
+PASS = 1 << 20
 
 
 def _ones(hashes: np.ndarray) -> np.ndarray:
@@ -65,13 +65,22 @@ def shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
 
 
 def simhash(words: list[bytes], shingle: int = 3, length: int = 1) -> list[int]:
-    """A fingerprint of ``length`` unsigned 64-bit numbers; all zero if there is no word.
+    """A fingerprint of ``length`` unsigned 64-bit numbers of the shingles, repeats included; zero if there is no word."""
+    return majority(shingle_hashes(words, shingle), length)
 
-    A bit is set if over half of the shingles' hashes have it. The first number takes the XXH64 itself,
-    the others take 64-bit mixes of it.
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct shingle hashes in ascending order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words, shingle)]))
+
+
+def majority(blocks: Iterable[np.ndarray], length: int) -> list[int]:
+    """``length`` unsigned 64-bit numbers: a bit is set if over half of the hashes have it.
+
+    The first number takes the hashes themselves, the others take 64-bit mixes of them.
     """
     ones, n = np.zeros((length, 64), np.int64), 0
-    for h in shingle_hashes(words, shingle):
+    for h in blocks:
         n += len(h)
         for k in range(length):
             ones[k] += _ones(mix(h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) if k else h)
@@ -79,15 +88,19 @@ def simhash(words: list[bytes], shingle: int = 3, length: int = 1) -> list[int]:
     return [int(weight[2 * row > n].sum(dtype=np.uint64)) for row in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, length: int = 1, digest: bool = False) -> DataFrame:
-    """(id, f0, f1, ...) for every row, and the 128-bit hash (d0, d1) of its words if asked; signed longs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, length: int = 1, as_set: bool = False) -> DataFrame:
+    """(id, f0, f1, ...) for every row; signed longs.
+
+    ``as_set``: fingerprints of distinct shingles, and with them the 128-bit hash (d0, d1) of the words.
+    """
     prepare(docs.sparkSession)
-    names = [f"f{k}" for k in range(length)] + (["d0", "d1"] if digest else [])
+    names = [f"f{k}" for k in range(length)] + (["d0", "d1"] if as_set else [])
 
     def numbers(text: bytes | None) -> list[int]:
         words = words_of(text)
-        own = simhash(words, shingle, length)
-        return own + list(divmod(xxhash.xxh3_128_intdigest(b" ".join(words)), 1 << 64)) if digest else own
+        if not as_set:
+            return simhash(words, shingle, length)
+        return majority([shingle_set(words, shingle)], length) + list(divmod(xxhash.xxh3_128_intdigest(b" ".join(words)), 1 << 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
@@ -135,24 +148,27 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def _search(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def _search(edge: int, end: int, linked: Callable) -> list[tuple[int, int]]:
     """Spanning links of one bucket: breadth-first over what isn't reached yet."""
-    rest, out = np.arange(len(fps)), []
+    rest, out = np.arange(edge, end), []
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            hit = _near(fps[rest], fps[x]) <= radius
+            hit = linked(rest, x)
             if hit.any():
-                found = rest[hit]
-                out += [(int(x), int(y)) for y in found]
-                queue += found.tolist()
+                found = rest[hit].tolist()
+                out += [(x, y) for y in found]
+                queue += found
                 rest = rest[~hit]
     return out
 
 
-def bucket_links(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of linked rows, among rows sorted by key: all links of small buckets, a spanning set of others."""
+def bucket_links(key: np.ndarray, linked: Callable) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of linked rows, among rows sorted by key: all links of small buckets, a spanning set of others.
+
+    ``linked(rows, others)`` tells which rows are linked to the others, or to the one other.
+    """
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(edge)
     left, right = [], []
@@ -163,12 +179,12 @@ def bucket_links(key: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndar
         rows = rows[rows + d < last[rows]]
         if not len(rows):
             break
-        hit = rows[_near(fps[rows], fps[rows + d]) <= radius]
+        hit = rows[linked(rows, rows + d)]
         left.append(hit)
         right.append(hit + d)
     for k in np.flatnonzero(size > SMALL):
-        if found := _search(fps[edge[k] : edge[k + 1]], radius):
-            pair = np.array(found) + edge[k]
+        if found := _search(edge[k], edge[k + 1], linked):
+            pair = np.array(found)
             left.append(pair[:, 0])
             right.append(pair[:, 1])
     none = np.zeros(0, np.int64)
@@ -200,7 +216,7 @@ def sweep(reps: DataFrame, words: int, keys, work, schema: str) -> DataFrame:
 
         for b in some(batches):
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
-            if sum(map(len, held)) >= PASS:
+            if sum(x.size for x in held) >= PASS:
                 yield from flush(False)
         if held:
             yield from flush(True)
@@ -220,7 +236,8 @@ def links(reps: DataFrame, words: int, radius: int, keys) -> DataFrame:
     """
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(rows[:, 0], _words(rows, words), radius)
+        fps = _words(rows, words)
+        a, b = bucket_links(rows[:, 0], lambda a, b: _near(fps[a], fps[b]) <= radius)
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
 
     return sweep(reps.select("node", *(f"f{k}" for k in range(words))), words, keys, work, "src long, dst long")
@@ -251,6 +268,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Of 128 bits a pair at similarity 0.8 differs in 19.4 on average, with deviation 4.1; the radius is three more.
 LENGTH, WIDE_RADIUS = 2, 32
+#: Of the 512 bits that candidates carry it differs in 77.6, with deviation 8.1; the radius is four more.
+LONG, LONG_RADIUS = 8, 110
+#: 64-bit numbers of the bitmap of a shingle set.
+BITMAP = 16
 #: Sampled keys. Two fingerprints that differ in 22 bits share one with probability 0.999, in 28 bits with 0.96;
 #: over the pairs at similarity 0.8 that is 0.998.
 TABLES, KEY_BITS = 100, 14
@@ -260,18 +281,29 @@ SIMILARITY = (4, 5)
 NEAREST = 8
 #: Pairs that one copy of a shingle set serves.
 SERVED = 1000
+#: Columns of a candidate: size of its shingle set, long fingerprint, bitmap.
+SKETCH = ["size", *(f"f{k}" for k in range(LONG)), *(f"b{k}" for k in range(BITMAP))]
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """BITMAP numbers with the bit of each hash, taken modulo their length, set."""
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[(mix(hashes) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of (id, text) rows: distinct shingle hashes."""
+    """(node, shingles, SKETCH) of (id, text) rows: distinct shingle hashes and what stands for them in buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            held = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(words_of(t), shingle)])) for t in texts(b)]
+            held = [shingle_set(words_of(t), shingle) for t in texts(b)]
             at = np.cumsum([0, *map(len, held)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).view(np.int64)))], ["node", "shingles"])
+            drawn = np.array([[len(h), *majority([h], LONG), *bitmap(h).tolist()] for h in held], np.uint64).view(np.int64)
+            sets = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets, *(pa.array(np.ascontiguousarray(c)) for c in drawn.T)], ["node", "shingles", *SKETCH])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{n} long" for n in SKETCH))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -290,21 +322,48 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
     return both.where(near).where(same * (up + down) >= size * up).select("src", "dst")
 
 
-def _stars(reps: DataFrame, radius: int, keys) -> DataFrame:
-    """Candidate pairs, few for each row and bucket, on which every node with a candidate occurs."""
+def _with_candidate(reps: DataFrame, radius: int, keys) -> DataFrame:
+    """(node) of all fingerprints that have another one within the radius in some bucket."""
+
+    def work(rows: np.ndarray) -> pa.RecordBatch:
+        fps = _words(rows, LENGTH)
+        a, b = bucket_links(rows[:, 0], lambda a, b: _near(fps[a], fps[b]) <= radius)
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(rows[np.concatenate([a, b]), 1]))], ["node"])
+
+    return sweep(reps.select("node", "f0", "f1"), LENGTH, keys, work, "node long").distinct()
+
+
+def _candidates(rows: np.ndarray, radius: int, similarity: tuple[int, int]) -> tuple[np.ndarray, Callable]:
+    """The long fingerprints of sketched rows, and which of them can have the similarity.
+
+    Each bit that one bitmap alone has stands for a shingle that the other set lacks, so what the bitmaps leave
+    of the sizes is an upper bound of the overlap: no similar pair is lost by it.
+    """
+    f, bits, size = _words(rows, LONG + BITMAP)[:, :LONG], _words(rows, BITMAP), rows[:, -len(SKETCH)]
+    up, down = similarity
+
+    def linked(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        hit = (_near(f[a, :LENGTH], f[b, :LENGTH]) <= radius) & (_near(f[a], f[b]) <= LONG_RADIUS)
+        at = np.flatnonzero(hit)
+        if len(at):
+            x, y = a[at], b if np.ndim(b) == 0 else b[at]
+            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=-1, dtype=np.int64)
+            lacks = np.bitwise_count(bits[x]).sum(axis=-1, dtype=np.int64) - common, np.bitwise_count(bits[y]).sum(axis=-1, dtype=np.int64) - common
+            most = np.minimum(size[x] - lacks[0], size[y] - lacks[1])
+            hit[at] = most * (up + down) >= (size[x] + size[y]) * up
+        return hit
+
+    return f, linked
+
+
+def _stars(live: DataFrame, radius: int, keys) -> DataFrame:
+    """Candidate pairs, few for each row and bucket, that connect all candidates of a bucket."""
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(rows[:, 0], _words(rows, LENGTH), radius)
-        if len(a):
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((b, a))  # the first later row of each row, and the first earlier one
-            first = order[np.unique(a[order], return_index=True)[1]]
-            order = np.lexsort((a, b))
-            kept = np.union1d(first, order[np.unique(b[order], return_index=True)[1]])
-            a, b = a[kept], b[kept]
+        a, b = bucket_links(rows[:, 0], _candidates(rows, radius, SIMILARITY)[1])
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
 
-    found = sweep(reps.select("node", "f0", "f1"), LENGTH, keys, work, "src long, dst long")
+    found = sweep(live.select("node", *SKETCH), LONG + BITMAP, keys, work, "src long, dst long")
     return found.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
@@ -317,55 +376,65 @@ def _across(live: DataFrame, radius: int, keys, nearest: int) -> DataFrame:
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
-        label, node, fps = rows[:, 2], rows[:, 1], _words(rows, LENGTH)
+        label, node = rows[:, 2], rows[:, 1]
+        f, linked = _candidates(rows, radius, SIMILARITY)
         mixed = np.logical_or.reduceat(label != np.repeat(label[edge[:-1]], np.diff(edge)), edge[:-1])
         src, dst, more = [], [], []
         for k in np.flatnonzero(mixed):
-            part = slice(edge[k], edge[k + 1])
-            own, ids, f = label[part], node[part], fps[part]
-            names, count = np.unique(own, return_counts=True)
-            for x in np.flatnonzero(own != names[np.argmax(count)]):
-                far = _near(f, f[x])
-                at = np.flatnonzero((far <= radius) & (own != own[x]))
+            part = np.arange(edge[k], edge[k + 1])
+            names, count = np.unique(label[part], return_counts=True)
+            for x in part[label[part] != names[np.argmax(count)]].tolist():
+                at = part[label[part] != label[x]]
+                at = at[linked(at, x)]
                 full = len(at) > nearest
                 if full:
-                    at = at[np.lexsort((ids[at], far[at]))[:nearest]]
-                src += [int(ids[x])] * len(at)
-                dst += ids[at].tolist()
+                    at = at[np.lexsort((node[at], _near(f[at], f[x])))[:nearest]]
+                src += [int(node[x])] * len(at)
+                dst += node[at].tolist()
                 more += [full] * len(at)
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(more, pa.bool_())], ["src", "dst", "more"])
 
-    found = sweep(live.select("node", "label", "f0", "f1"), LENGTH, keys, work, "src long, dst long, more boolean")
+    found = sweep(live.select("node", "label", *SKETCH), LONG + BITMAP, keys, work, "src long, dst long, more boolean")
     return found.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("more").alias("more"))
 
 
 def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
     """(node, label) of the nodes similar to another: components of the candidate pairs that hold exactly.
 
-    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0, f1. First each bucket proposes stars. Then
-    rounds propose what is still of different labels, the nearest first, until no row had to leave one out:
-    a pair of candidates is then either in one component or found to be dissimilar.
+    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0, f1. Nodes with a fingerprint near theirs get
+    a sketch. First each bucket proposes stars, which connect all its candidates; where all of them hold, a group is
+    done. In the others, rounds propose what is still of different labels, the nearest first, until no row had
+    to leave one out: a pair of candidates is then either in one component or found to be dissimilar.
     """
 
     def keys(fps: np.ndarray) -> Iterator[np.ndarray]:
-        return sampled_keys(fps, TABLES, KEY_BITS)
+        return sampled_keys(fps[:, :LENGTH], TABLES, KEY_BITS)
+
+    def named(pairs: DataFrame, name: str) -> DataFrame:
+        return connected_components(pairs).select(F.col("id").alias("node"), F.col("component").alias(name))
 
-    tested = cut(_stars(reps, radius, keys))
-    live = cut(tested.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(reps, "node"))
-    sets = stash(shingle_sets(docs.join(live.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text"), shingle))
+    near = cut(_with_candidate(reps, radius, keys))
+    sets = stash(shingle_sets(docs.join(near.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text"), shingle))
+    live = sets.select("node", *SKETCH)
+    tested = cut(_stars(live, radius, keys))
     true, nearest = cut(similar(tested, sets)), NEAREST
+    label = named(true, "label")
+    if tested.join(true, ["src", "dst"], "left_anti").isEmpty():
+        return label
+    loose = cut(named(tested, "loose"))
     while True:
-        label = connected_components(true).select(F.col("id").alias("node"), F.col("component").alias("label"))
-        named = cut(live.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        pairs = cut(_across(named, radius, keys, nearest))
+        labels = cut(loose.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        apart = labels.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("loose")
+        pairs = cut(_across(live.join(labels.join(apart, "loose", "left_semi"), "node"), radius, keys, nearest))
         more = pairs.agg(F.max("more")).first()[0]
         new = cut(pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti"))
         found = cut(similar(new, sets))
         if not more and found.isEmpty():
             return label
         true = cut(true.union(found))
+        label = named(true, "label")
         if not more:
-            return connected_components(true).select(F.col("id").alias("node"), F.col("component").alias("label"))
+            return label
         tested, nearest = cut(tested.union(new)), nearest * 16
 
 
@@ -373,13 +442,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` less all but one (the smallest id) of each group of near duplicates.
 
     Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which is
-    decided by the sets themselves. Candidates are 128-bit SimHash fingerprints within ``radius`` bits that share
-    one of 100 sampled keys of 14 one-bit segments. Texts of the same words are one node. Null and wordless
+    decided by the sets themselves. Candidates are 128-bit SimHash fingerprints (of distinct shingles) within ``radius``
+    bits that share one of 100 sampled keys of 14 one-bit segments, with 512-bit ones within LONG_RADIUS. Texts of the same words are one node. Null and wordless
     texts are one group. Rows with a null id stay. Rows that share an id are one document, and one stays.
     """
     prepare(docs.sparkSession)
     known = columns(docs, id_col, text_col).where("id is not null")
-    fps = fingerprints(known, "id", "text", shingle, LENGTH, digest=True)
+    fps = fingerprints(known, "id", "text", shingle, LENGTH, as_set=True)
     reps = cut(fps.groupBy("d0", "d1").agg(F.min("id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")).drop("d0", "d1"))
     later = similar_groups(known, reps, shingle, radius).where("label < node").select("node")
     id_ = fresh("id", docs.columns)

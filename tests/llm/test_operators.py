@@ -299,7 +299,7 @@ def test_links_of_large_buckets_connect_what_is_connected():
     rnd = np.random.default_rng(5)
     base = rnd.integers(0, 2**63, 4).astype(np.uint64)
     fps = np.unique(np.array([b ^ np.uint64(sum(1 << int(x) for x in rnd.choice(64, rnd.integers(0, 6), replace=False))) for b in base for _ in range(80)], np.uint64))
-    a, b = simhash.bucket_links(np.zeros(len(fps), np.int64), fps.reshape(-1, 1), 2)
+    a, b = simhash.bucket_links(np.zeros(len(fps), np.int64), lambda a, b: np.bitwise_count(fps[a] ^ fps[b]) <= 2)
     linked = set(zip(a.tolist(), b.tolist(), strict=True))
     assert all((int(fps[x]) ^ int(fps[y])).bit_count() <= 2 for x, y in linked)
     want = classes(len(fps), lambda x, y: (int(fps[x]) ^ int(fps[y])).bit_count() <= 2)
@@ -329,6 +329,30 @@ def test_near_duplicate_stage_keeps_one_of_a_group(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_bitmaps_lose_no_similar_pair():
+    rnd = np.random.default_rng(11)
+    held = []
+    for size in (1, 4, 9, 50, 300, 1500, 6000):
+        whole = rnd.integers(0, 2**63, size).astype(np.uint64)
+        for lost in (0, size // 10, size // 5, size // 3):
+            held += [np.unique(whole[lost:]), np.unique(np.r_[whole[lost:], rnd.integers(0, 2**63, lost).astype(np.uint64)])]
+    same = np.array([0] * simhash.LONG, np.uint64)
+    sketch = np.array([[len(h), *same, *simhash.bitmap(h)] for h in held], np.uint64).view(np.int64)
+    _, linked = simhash._candidates(sketch, simhash.WIDE_RADIUS, simhash.SIMILARITY)
+    kept = lost = 0
+    for x in range(len(held)):
+        hit = linked(np.arange(len(held)), x)
+        assert (linked(np.arange(len(held)), np.full(len(held), x)) == hit).all()
+        for y in range(len(held)):
+            both = len(np.intersect1d(held[x], held[y]))
+            if both * 5 >= len(np.union1d(held[x], held[y])) * 4:
+                assert hit[y]
+                kept += 1
+            else:
+                lost += not hit[y]
+    assert kept and lost
+
+
 def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch):
     import random
 
