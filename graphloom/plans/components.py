@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import cut, release
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     seen = None
     for _ in range(max_rounds):
         e = cut(_stars(_stars(e, small=False), small=True))
+        release(e.sparkSession)
         state = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
