@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import columns, fresh, mix, some, texts
 from graphloom.plans.components import connected_components
-from graphloom.session import cut, prepare, stash
+from graphloom.session import cut, prepare, release, stash
 
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 17
@@ -416,7 +416,9 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int =
     near = cut(_with_candidate(reps, radius, keys))
     sets = stash(shingle_sets(docs.join(near.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text"), shingle))
     live = sets.select("node", *SKETCH)
+    release(docs.sparkSession)
     tested = cut(_stars(live, radius, keys))
+    release(docs.sparkSession)
     true, nearest = cut(similar(tested, sets)), NEAREST
     label = named(true, "label")
     if tested.join(true, ["src", "dst"], "left_anti").isEmpty():
@@ -426,9 +428,11 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int =
         labels = cut(loose.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
         apart = labels.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("loose")
         pairs = cut(_across(live.join(labels.join(apart, "loose", "left_semi"), "node"), radius, keys, nearest))
+        release(docs.sparkSession)
         more = pairs.agg(F.max("more")).first()[0]
         new = cut(pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti"))
         found = cut(similar(new, sets))
+        release(docs.sparkSession)
         if not more and found.isEmpty():
             return label
         true = cut(true.union(found))
