@@ -533,6 +533,30 @@ def largest_component(spark, sf):
     return _sparse(spark, sf).largest_component()[0].edges
 
 
+# The SQL of the four above is recursive and bound to one order in 40; these run on all orders and have none.
+
+
+@query()
+def components_whole(spark, sf):
+    return fixtures.copurchase(spark, sf).components()
+
+
+@query()
+def component_sizes_whole(spark, sf):
+    return fixtures.copurchase(spark, sf).components().groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query()
+def component_count_whole(spark, sf):
+    c = fixtures.copurchase(spark, sf).components().agg(F.count_distinct("comp").alias("components"))
+    return c.select("components", (F.col("components") == 1).alias("connected"))
+
+
+@query()
+def largest_component_whole(spark, sf):
+    return fixtures.copurchase(spark, sf).largest_component()[0].edges
+
+
 @query(G + ", b as (select 0 as id, 0 as d union select e.dst, b.d + 1 from b join e on e.src = b.id where b.d < 8) select n.id, coalesce(min(b.d), -1)::int as dist from n left join b on b.id = n.id group by n.id")
 def bfs_distances(spark, sf):
     return algorithms.shortest_paths(fixtures.succession(spark, sf), 0)

@@ -335,3 +335,37 @@ def test_every_query_has_a_schema_and_the_entry_runs(spark):
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 70
     row = e.entry(spark).collect()
     assert len(row) == 1 and row[0].attractive > 0
+
+
+def by_search(n, edges):
+    """Distances of every vertex from every origin, -1 if unreachable, by a queue."""
+    near = {v: set() for v in range(n)}
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for origin in range(n):
+        dist, queue = {origin: 0}, [origin]
+        for v in queue:
+            for u in near[v] - set(dist):
+                dist[u] = dist[v] + 1
+                queue.append(u)
+        out |= {(origin, v): dist.get(v, -1) for v in range(n)}
+    return out
+
+
+def test_component_queries_take_all_orders(spark, tmp_path):
+    import __spark_entry__ as e
+
+    orders = {1: [1, 2], 2: [2, 3, 3], 39: [5, 6], 40: [6, 7], 41: [9], 83: [10, 12, 14]}
+    spark.createDataFrame([(o, p) for o, ps in orders.items() for p in ps], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i,) for i in range(1, 16)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = {(a, b) for ps in orders.values() for a in ps for b in ps if a < b}
+    dist = by_search(16, pairs)
+    least = [min(u for u in range(16) if dist[v, u] >= 0) for v in range(16)]
+    comp = [sorted(set(least)).index(x) for x in least]
+    run = lambda name: e.queries()[name](spark, str(tmp_path))
+    assert values(run("components_whole"), "id", "comp") == dict(enumerate(comp))
+    assert values(run("component_sizes_whole"), "comp", "size") == {c: comp.count(c) for c in comp}
+    assert tuple(run("component_count_whole").first()) == (len(set(comp)), False)
+    assert {tuple(r) for r in run("largest_component_whole").collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
