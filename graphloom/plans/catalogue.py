@@ -568,6 +568,14 @@ def all_pairs_bfs(spark, sf):
     return algorithms.bfs(g, g.nodes.where("id % 5 = 0").select("id"))
 
 
+# The SQL above starts from one vertex in 5 and stops at 6 hops; this does neither and has none.
+
+
+@query()
+def all_pairs_whole(spark, sf):
+    return algorithms.all_pairs(fixtures.succession(spark, sf))
+
+
 def _clusters(g: Graph) -> DataFrame:
     return coarsen.compact(g.nodes.select("id", (F.col("id") * 7 % 10).alias("cluster")))
 

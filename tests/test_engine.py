@@ -369,3 +369,14 @@ def test_component_queries_take_all_orders(spark, tmp_path):
     assert values(run("component_sizes_whole"), "comp", "size") == {c: comp.count(c) for c in comp}
     assert tuple(run("component_count_whole").first()) == (len(set(comp)), False)
     assert {tuple(r) for r in run("largest_component_whole").collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
+
+
+def test_all_pairs_query_starts_from_every_vertex(spark, tmp_path):
+    import __spark_entry__ as e
+
+    walks = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [13, 12, 13]]
+    users = [u for walk in walks for u in walk]
+    spark.createDataFrame([(t, u, t, "purchase") for t, u in enumerate(users)] + [(99, 14, 99, "view")], "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = by_search(14, list(zip(users, users[1:], strict=False)))
+    got = {(r.origin, r.id): r.dist for r in e.queries()["all_pairs_whole"](spark, str(tmp_path)).collect()}
+    assert got == want and max(want.values()) > 6 and len(got) == 14 * 14
