@@ -8,8 +8,9 @@ choice of the other groups is a key. Fingerprints that share a key are compared
 
 Exact copies collapse to one fingerprint before the join. Inside a bucket only a spanning set of links
 goes out, never all pairs; buckets are compared in streaming order, a hot one by breadth-first search
-over the fingerprints not reached yet. The stage on word shingles takes the fingerprints as candidates only,
-bounds the overlap of two shingle sets by bitmaps inside the buckets, and compares the sets of what is left.
+over the fingerprints not reached yet. The stage on word shingles finds candidates by prefixes of the globally
+ordered sets, which loses no similar pair, bounds the overlap of two sets by positions and bitmaps inside the buckets,
+and compares the sets of what is left; fingerprints only say which candidates come first.
 """
 
 from __future__ import annotations
@@ -88,28 +89,30 @@ def majority(blocks: Iterable[np.ndarray], length: int) -> list[int]:
     return [int(weight[2 * row > n].sum(dtype=np.uint64)) for row in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, length: int = 1, as_set: bool = False) -> DataFrame:
-    """(id, f0, f1, ...) for every row; signed longs.
-
-    ``as_set``: fingerprints of distinct shingles, and with them the 128-bit hash (d0, d1) of the words.
-    """
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, length: int = 1) -> DataFrame:
+    """(id, f0, f1, ...) for every row; signed longs."""
     prepare(docs.sparkSession)
-    names = [f"f{k}" for k in range(length)] + (["d0", "d1"] if as_set else [])
-
-    def numbers(text: bytes | None) -> list[int]:
-        words = words_of(text)
-        if not as_set:
-            return simhash(words, shingle, length)
-        return majority([shingle_set(words, shingle)], length) + list(divmod(xxhash.xxh3_128_intdigest(b" ".join(words)), 1 << 64))
+    names = [f"f{k}" for k in range(length)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            got = np.array([numbers(t) for t in texts(b)], np.uint64).reshape(-1, len(names))
+            got = np.array([simhash(words_of(t), shingle, length) for t in texts(b)], np.uint64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(len(names)))], ["id", *names])
 
     return columns(docs, id_col, text_col).mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names))
 
 
+def word_hashes(docs: DataFrame) -> DataFrame:
+    """(id, d0, d1) of (id, text) rows: the 128-bit hash of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            got = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(words_of(t))), 1 << 64) for t in texts(b)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], ["id", "d0", "d1"])
+
+    return docs.mapInArrow(run, "id long, d0 long, d1 long")
+
+
 def radius_keys(fps: np.ndarray, radius: int, segment: int = 2) -> Iterator[np.ndarray]:
     """Keys of one-word fingerprints such that any two within the radius share one.
 
@@ -133,17 +136,6 @@ def radius_keys(fps: np.ndarray, radius: int, segment: int = 2) -> Iterator[np.n
         yield key
 
 
-def sampled_keys(fps: np.ndarray, tables: int, bits: int, seed: int = 7) -> Iterator[np.ndarray]:
-    """Keys from random choices of one-bit segments: for radii at which choosing groups is hopeless."""
-    width = 64 * fps.shape[1]
-    draw = np.random.default_rng(seed)
-    for number in range(tables):
-        key = np.full(len(fps), number + 1, np.uint64)
-        for i in draw.choice(width, bits, replace=False):
-            key = (key << np.uint64(1)) | ((fps[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1))
-        yield key
-
-
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
@@ -194,7 +186,7 @@ def bucket_links(key: np.ndarray, linked: Callable) -> tuple[np.ndarray, np.ndar
 def sweep(reps: DataFrame, words: int, keys, work, schema: str) -> DataFrame:
     """``work(rows)`` over all buckets of the keys: rows are key, the columns of ``reps``, in order of key and node.
 
-    ``reps``: long columns, the first one node, the last ones f0..; buckets stream by and are never divided.
+    ``reps``: long columns, the first one node, the last ones f0...
     """
     names = reps.columns
 
@@ -204,6 +196,12 @@ def sweep(reps: DataFrame, words: int, keys, work, schema: str) -> DataFrame:
             for key in keys(fps):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", *names])
 
+    return buckets(reps.mapInArrow(deal, "key long, " + ", ".join(f"{n} long" for n in names)), work, schema)
+
+
+def buckets(dealt: DataFrame, work, schema: str) -> DataFrame:
+    """``work(rows)`` over rows of long columns, the first two key and node; buckets stream by and are never divided."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
@@ -221,7 +219,6 @@ def sweep(reps: DataFrame, words: int, keys, work, schema: str) -> DataFrame:
         if held:
             yield from flush(True)
 
-    dealt = reps.mapInArrow(deal, "key long, " + ", ".join(f"{n} long" for n in names))
     return dealt.repartition(F.col("key")).sortWithinPartitions("key", "node").mapInArrow(join, schema)
 
 
@@ -266,15 +263,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return groups(fps, radius).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Of 128 bits a pair at similarity 0.8 differs in 19.4 on average, with deviation 4.1; the radius is three more.
-LENGTH, WIDE_RADIUS = 2, 32
-#: Of the 512 bits that candidates carry it differs in 77.6, with deviation 8.1; the radius is four more.
-LONG, LONG_RADIUS = 8, 110
+#: Bits of the first 128 that a pair at similarity 0.8 differs in, 19.4 on average, plus three deviations; it cuts nothing.
+WIDE_RADIUS = 32
+#: 64-bit numbers of the fingerprint by which candidates are ordered.
+LONG = 8
 #: 64-bit numbers of the bitmap of a shingle set.
 BITMAP = 16
-#: Sampled keys. Two fingerprints that differ in 22 bits share one with probability 0.999, in 28 bits with 0.96;
-#: over the pairs at similarity 0.8 that is 0.998.
-TABLES, KEY_BITS = 100, 14
+#: Texts whose shingles are counted for the global order, at about; shingles in fewer of them than COMMON count as rare.
+COUNTED, COMMON, MOST_COMMON = 4000, 4, 100_000
+#: Shingles that the prefixes of two similar sets share at least; all of them, where sets have fewer in common.
+SHARED = 8
 #: Four fifths, the least similarity of near duplicates.
 SIMILARITY = (4, 5)
 #: Nearest candidates that a fingerprint proposes from each bucket in the first round after the stars.
@@ -306,6 +304,76 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{n} long" for n in SKETCH))
 
 
+def common_shingles(docs: DataFrame, share: float, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles frequent in a sample of the texts, in ascending order, and their counts: an order, not a choice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            held = [shingle_set(words_of(t), shingle) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["h"])
+
+    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    counted = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    rows = sorted((r.h % (1 << 64), r.n) for r in counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect())
+    return np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+
+
+def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the global order (rare ones first, then by a mix), so many that of two
+    similar sets each one's prefix has the first SHARED shingles of both, or all if there are fewer."""
+    if not len(hashes):
+        return hashes
+    up, down = similarity
+    names, counts = common
+    many = np.zeros(len(hashes), np.int64)
+    if len(names):
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        many = np.where(names[at] == hashes, counts[at], 0)
+    order = np.lexsort((mix(hashes), many))
+    least = -(-len(hashes) * up // down)
+    return hashes[order[: len(hashes) - least + min(SHARED, least)]]
+
+
+def prefixes(docs: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, node, at) of (id, text) rows: each shingle of the prefix; at is its place and, 32 bits up, the set's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            keys, nodes, at, n = [], [], [], 0
+            for node, text in zip(ids.tolist(), texts(b), strict=True):
+                held = shingle_set(words_of(text), shingle)
+                first = prefix(held, common)
+                keys.append(first)
+                nodes.append(np.full(len(first), node, np.int64))
+                at.append((len(held) << 32) + np.arange(len(first), dtype=np.int64))
+                n += len(first)
+                if n >= BLOCK:
+                    yield packed(keys, nodes, at)
+                    keys, nodes, at, n = [], [], [], 0
+            if n:
+                yield packed(keys, nodes, at)
+
+    def packed(keys, nodes, at) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(at))], ["key", "node", "at"])
+
+    return docs.mapInArrow(run, "key long, node long, at long")
+
+
+def _placed(at: np.ndarray, similarity: tuple[int, int], first: bool = True) -> Callable:
+    """Which rows of a bucket can have the similarity; if ``first``, when its shingle is the first that both sets have.
+
+    Any similar pair has a bucket of its first shingle; what comes after the shingle bounds the overlap there. In the
+    pair's other buckets what comes before it counts, too.
+    """
+    before, size = at & 0xFFFFFFFF, at >> 32
+    after = size - before
+    up, down = similarity
+    if not first:
+        return lambda a, b: (np.minimum(after[a], after[b]) + np.minimum(before[a], before[b])) * (up + down) >= (size[a] + size[b]) * up
+    return lambda a, b: np.minimum(after[a], after[b]) * (up + down) >= (size[a] + size[b]) * up
+
+
 def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The (src, dst) pairs whose shingle sets have the Jaccard similarity or more, exactly.
 
@@ -322,52 +390,67 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
     return both.where(near).where(same * (up + down) >= size * up).select("src", "dst")
 
 
-def _with_candidate(reps: DataFrame, radius: int, keys) -> DataFrame:
-    """(node) of all fingerprints that have another one within the radius in some bucket."""
+def _with_candidate(dealt: DataFrame) -> DataFrame:
+    """The rows of prefixes that have a candidate in their bucket, of nodes with as many such rows as similar sets share."""
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
-        fps = _words(rows, LENGTH)
-        a, b = bucket_links(rows[:, 0], lambda a, b: _near(fps[a], fps[b]) <= radius)
-        return pa.RecordBatch.from_arrays([pa.array(np.unique(rows[np.concatenate([a, b]), 1]))], ["node"])
+        a, b = bucket_links(rows[:, 0], _placed(rows[:, 2], SIMILARITY, first=False))
+        kept = rows[np.unique(np.concatenate([a, b]))]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in kept.T], ["key", "node", "at"])
 
-    return sweep(reps.select("node", "f0", "f1"), LENGTH, keys, work, "node long").distinct()
+    up, down = SIMILARITY
+    found = cut(buckets(dealt, work, "key long, node long, at long"))
+    size = F.shiftright("at", 32)
+    least = F.least(F.lit(SHARED), F.ceil(size * up / down))
+    enough = found.groupBy("node", size.alias("size")).agg((F.count_distinct("key") >= F.first(least)).alias("enough")).where("enough")
+    return found.join(enough.select("node").distinct(), "node", "left_semi").select("key", "node", "at")
 
 
 def _candidates(rows: np.ndarray, radius: int, similarity: tuple[int, int]) -> tuple[np.ndarray, Callable]:
     """The long fingerprints of sketched rows, and which of them can have the similarity.
 
     Each bit that one bitmap alone has stands for a shingle that the other set lacks, so what the bitmaps leave
-    of the sizes is an upper bound of the overlap: no similar pair is lost by it.
+    of the sizes is an upper bound of the overlap: no similar pair is lost by it. The radius cuts nothing.
     """
     f, bits, size = _words(rows, LONG + BITMAP)[:, :LONG], _words(rows, BITMAP), rows[:, -len(SKETCH)]
     up, down = similarity
+    ones = np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
     def linked(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-        hit = (_near(f[a, :LENGTH], f[b, :LENGTH]) <= radius) & (_near(f[a], f[b]) <= LONG_RADIUS)
+        common = np.bitwise_count(bits[a] & bits[b]).sum(axis=-1, dtype=np.int64)
+        most = np.minimum(size[a] - ones[a], size[b] - ones[b]) + common
+        return most * (up + down) >= (size[a] + size[b]) * up
+
+    return f, linked
+
+
+def _both(rows: np.ndarray, radius: int) -> tuple[np.ndarray, Callable]:
+    """_candidates and _placed at once, of rows whose third column is at."""
+    f, linked = _candidates(rows, radius, SIMILARITY)
+    placed = _placed(rows[:, 2], SIMILARITY)
+
+    def both(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        hit = placed(a, b)
         at = np.flatnonzero(hit)
         if len(at):
-            x, y = a[at], b if np.ndim(b) == 0 else b[at]
-            common = np.bitwise_count(bits[x] & bits[y]).sum(axis=-1, dtype=np.int64)
-            lacks = np.bitwise_count(bits[x]).sum(axis=-1, dtype=np.int64) - common, np.bitwise_count(bits[y]).sum(axis=-1, dtype=np.int64) - common
-            most = np.minimum(size[x] - lacks[0], size[y] - lacks[1])
-            hit[at] = most * (up + down) >= (size[x] + size[y]) * up
+            hit[at] = linked(a[at], b if np.ndim(b) == 0 else b[at])
         return hit
 
-    return f, linked
+    return f, both
 
 
-def _stars(live: DataFrame, radius: int, keys) -> DataFrame:
+def _stars(live: DataFrame, radius: int) -> DataFrame:
     """Candidate pairs, few for each row and bucket, that connect all candidates of a bucket."""
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(rows[:, 0], _candidates(rows, radius, SIMILARITY)[1])
+        a, b = bucket_links(rows[:, 0], _both(rows, radius)[1])
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
 
-    found = sweep(live.select("node", *SKETCH), LONG + BITMAP, keys, work, "src long, dst long")
+    found = buckets(live.select("key", "node", "at", *SKETCH), work, "src long, dst long")
     return found.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def _across(live: DataFrame, radius: int, keys, nearest: int) -> DataFrame:
+def _across(live: DataFrame, radius: int, nearest: int) -> DataFrame:
     """(src, dst, more): candidate pairs of different labels, the ``nearest`` of each row and bucket.
 
     Of two rows of different labels one at least isn't of the bucket's most frequent label, so only such rows
@@ -376,8 +459,8 @@ def _across(live: DataFrame, radius: int, keys, nearest: int) -> DataFrame:
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
-        label, node = rows[:, 2], rows[:, 1]
-        f, linked = _candidates(rows, radius, SIMILARITY)
+        label, node = rows[:, 3], rows[:, 1]
+        f, linked = _both(rows, radius)
         mixed = np.logical_or.reduceat(label != np.repeat(label[edge[:-1]], np.diff(edge)), edge[:-1])
         src, dst, more = [], [], []
         for k in np.flatnonzero(mixed):
@@ -394,30 +477,31 @@ def _across(live: DataFrame, radius: int, keys, nearest: int) -> DataFrame:
                 more += [full] * len(at)
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(more, pa.bool_())], ["src", "dst", "more"])
 
-    found = sweep(live.select("node", "label", *SKETCH), LONG + BITMAP, keys, work, "src long, dst long, more boolean")
+    found = buckets(live.select("key", "node", "at", "label", *SKETCH), work, "src long, dst long, more boolean")
     return found.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("more").alias("more"))
 
 
 def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
     """(node, label) of the nodes similar to another: components of the candidate pairs that hold exactly.
 
-    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0, f1. Nodes with a fingerprint near theirs get
-    a sketch. First each bucket proposes stars, which connect all its candidates; where all of them hold, a group is
+    ``docs``: id, text; ``reps``: node (the id of a row in docs). Nodes that share a shingle of their prefixes, at
+    places and with sizes that allow the similarity, get a sketch. First each bucket proposes stars, which connect all its candidates; where all of them hold, a group is
     done. In the others, rounds propose what is still of different labels, the nearest first, until no row had
     to leave one out: a pair of candidates is then either in one component or found to be dissimilar.
     """
 
-    def keys(fps: np.ndarray) -> Iterator[np.ndarray]:
-        return sampled_keys(fps[:, :LENGTH], TABLES, KEY_BITS)
-
     def named(pairs: DataFrame, name: str) -> DataFrame:
         return connected_components(pairs).select(F.col("id").alias("node"), F.col("component").alias(name))
 
-    near = cut(_with_candidate(reps, radius, keys))
-    sets = stash(shingle_sets(docs.join(near.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text"), shingle))
-    live = sets.select("node", *SKETCH)
+    own = docs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
+    common = common_shingles(own, min(1.0, COUNTED / max(1, reps.count())), shingle)
+    dealt = cut(_with_candidate(prefixes(own, shingle, common)))
+    release(docs.sparkSession)
+    near = stash(dealt.select(F.col("node").alias("id")).distinct())
+    sets = stash(shingle_sets(docs.join(near, "id", "left_semi").select("id", "text"), shingle))
+    live = dealt.join(sets.select("node", *SKETCH), "node")
     release(docs.sparkSession)
-    tested = cut(_stars(live, radius, keys))
+    tested = cut(_stars(live, radius))
     release(docs.sparkSession)
     true, nearest = cut(similar(tested, sets)), NEAREST
     label = named(true, "label")
@@ -427,7 +511,7 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int =
     while True:
         labels = cut(loose.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
         apart = labels.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("loose")
-        pairs = cut(_across(live.join(labels.join(apart, "loose", "left_semi"), "node"), radius, keys, nearest))
+        pairs = cut(_across(live.join(labels.join(apart, "loose", "left_semi"), "node"), radius, nearest))
         release(docs.sparkSession)
         more = pairs.agg(F.max("more")).first()[0]
         new = cut(pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti"))
@@ -446,14 +530,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` less all but one (the smallest id) of each group of near duplicates.
 
     Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which is
-    decided by the sets themselves. Candidates are 128-bit SimHash fingerprints (of distinct shingles) within ``radius``
-    bits that share one of 100 sampled keys of 14 one-bit segments, with 512-bit ones within LONG_RADIUS. Texts of the same words are one node. Null and wordless
+    decided by the sets themselves. Candidates share a shingle of the prefixes of their sets in a global order, which
+    every similar pair does. SimHash fingerprints order the search; ``radius`` cuts nothing. Texts of the same words are one node. Null and wordless
     texts are one group. Rows with a null id stay. Rows that share an id are one document, and one stays.
     """
     prepare(docs.sparkSession)
     known = columns(docs, id_col, text_col).where("id is not null")
-    fps = fingerprints(known, "id", "text", shingle, LENGTH, as_set=True)
-    reps = cut(fps.groupBy("d0", "d1").agg(F.min("id").alias("node"), F.first("f0").alias("f0"), F.first("f1").alias("f1")).drop("d0", "d1"))
+    reps = stash(word_hashes(known).groupBy("d0", "d1").agg(F.min("id").alias("node")).select("node"))
     later = similar_groups(known, reps, shingle, radius).where("label < node").select("node")
     id_ = fresh("id", docs.columns)
     keep = cut(reps.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(id_)))

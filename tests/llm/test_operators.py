@@ -387,6 +387,36 @@ def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch):
     assert got == sorted(least.values())
 
 
+def test_no_pair_of_few_shingles_is_lost(spark):
+    import random
+
+    rnd = random.Random(21)
+    data = []
+    for size in (5, 10, 15, 40):  # sets of size and 4/5 size shingles: exactly 0.8; one more word lost is below it
+        for _ in range(400):
+            w = [f"u{rnd.randrange(10**7)}" for _ in range(size + 4)]
+            data += [(2 * len(data), " ".join(w)), (2 * len(data) + 1, " ".join(w[: size * 4 // 5 + 4]))]
+        w = [f"u{rnd.randrange(10**7)}" for _ in range(size + 4)]
+        data += [(10**6 + size, " ".join(w)), (2 * 10**6 + size, " ".join(w[: size * 4 // 5 + 3]))]
+    got = {r.doc_id for r in simhash.drop_near_duplicates(frame(spark, [(*r, "en", "s", 1, "x", 1, None) for r in data])).collect()}
+    assert got == {i for i, _ in data if i % 2 == 0 or i >= 10**6}
+
+
+def test_similar_sets_share_the_first_shingle_of_their_prefixes():
+    rnd = np.random.default_rng(3)
+    for size in (1, 2, 4, 5, 6, 9, 20, 333):
+        for _ in range(40):
+            x = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64))
+            lost = int(rnd.integers(0, size // 5 + 1))
+            y = np.unique(rnd.permutation(x)[lost:])
+            common = np.unique(rnd.permutation(x)[: size // 2]), rnd.integers(4, 9, size // 2)
+            a, b = simhash.prefix(x, common).tolist(), simhash.prefix(y, common).tolist()
+            first = next(h for h in simhash.prefix(np.intersect1d(x, y), common).tolist())
+            assert first in a and first in b
+            at = np.array([(len(x) << 32) + a.index(first), (len(y) << 32) + b.index(first)])
+            assert simhash._placed(at, simhash.SIMILARITY)(np.array([0]), np.array([1])).all()
+
+
 # --- 9
 
 
