@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     return f"file://{OWN_CHECKPOINT_DIR}"
 
 
@@ -73,21 +76,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; it goes when this process ends."""
-    import atexit
-    import uuid
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+
+def discard_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder in the shared store when this process ends."""
+    import atexit
 
     def drop() -> None:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            discard(spark, path)
         except Exception:  # the session may be gone already
             pass
 
     atexit.register(drop)
-    return spark.read.parquet(path)
+
+
+def written(df: DataFrame) -> str:
+    """Write a Parquet table into the shared folder, for as long as this process runs; its path."""
+    import uuid
+
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    discard_at_exit(df.sparkSession, path)
+    df.write.parquet(path)
+    return path
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder; it goes when this process ends."""
+    return df.sparkSession.read.parquet(written(df))
