@@ -53,6 +53,16 @@ def inf_distance(a: Point, b: Point) -> Column:
     return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
 
 
+def node_weight(name: str, w: Column) -> Column:
+    """A vertex's weight in a space; 1 where it has none."""
+    return w if name in ("weighted", "weighted_inf", "weighted_nodim", "additive") else F.lit(1.0)
+
+
+def node_distance(name: str, a: Point, b: Point) -> Column:
+    """The distance of two vertices before their weights scale it."""
+    return inf_distance(a, b) if name in ("infnorm", "weighted_inf") else distance(a, b)
+
+
 def safe_divide(a: Column, b: Column, otherwise: Column | None = None) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(float("nan")) if otherwise is None else otherwise)
 

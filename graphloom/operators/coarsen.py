@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,6 @@ from graphloom.operators.pairs import dimension
 from graphloom.session import cut
 
 SWEEPS, CAPACITY, SMALLEST = 20, 6, 10
-#: Vertices up to which the sequential sweeps run, in one task; larger graphs go in synchronous rounds.
-SEQUENTIAL = 200_000
 
 
 def compact(clusters: DataFrame) -> DataFrame:
@@ -51,12 +50,43 @@ def coarse_weights(weighted: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def label_propagation(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capacity: int = CAPACITY) -> DataFrame:
-    """(id, cluster): capacity-limited, vertices by ascending degree (then id), labels at once; compacted.
+    """(id, cluster): capacity-limited label propagation in distributed rounds, at any size; compacted.
 
-    The sweeps depend on their order, so a graph of checked size is one task; see synchronous_labels beyond.
+    A sweep has two rounds, in each of which one half of the vertices (dealt by a hash) looks at the labels of the
+    round before: so two neighbours don't swap for ever. A vertex takes the heaviest label around it that has room,
+    its own one included, of equals the one with the smallest neighbour; where more apply than there is room for, the
+    heaviest (then smallest) applicants get it and the others try again in the next sweep. Sweeps end early when
+    nothing moves any more, because then nothing ever would. See sequential_labels for sweeps vertex by vertex.
+    """
+    label = cut(g.nodes.select("id", F.col("id").alias("cluster")))
+    edges = weighted.select("src", "dst", "w")
+    for _ in range(sweeps):
+        moves = 0
+        for half in (0, 1):
+            size = label.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+            room = label.join(size, "cluster").select(F.col("id").alias("dst"), "cluster", "size")
+            mine = label.where(F.pmod(F.xxhash64("id"), F.lit(2)) == half).select(F.col("id").alias("src"), F.col("cluster").alias("own"))
+            near = edges.join(mine, "src").join(room, "dst").groupBy("src", "own", "cluster").agg(F.sum("w").alias("w"), F.min("dst").alias("u"), F.first("size").alias("size"))
+            near = near.where((F.col("cluster") == F.col("own")) | (F.col("size") < capacity))
+            best = near.groupBy("src", "own").agg(F.max(F.struct("w", (F.col("cluster") == F.col("own")).alias("stays"), (-F.col("u")).alias("u"), "cluster", "size")).alias("b"))
+            asked = best.where("not b.stays").select("src", F.col("b.cluster").alias("to"), F.col("b.w").alias("w"), F.col("b.size").alias("size"))
+            place = F.row_number().over(Window.partitionBy("to").orderBy(F.desc("w"), "src"))
+            taken = cut(asked.withColumn("place", place).where(F.col("place") + F.col("size") <= capacity).select(F.col("src").alias("id"), "to"))
+            if n := taken.count():
+                moves += n
+                label = cut(label.join(taken, "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
+        if not moves:
+            break
+    return compact(label)
+
+
+def sequential_labels(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capacity: int = CAPACITY, order: str = "degree", seed: int = 0) -> DataFrame:
+    """(id, cluster): the same rule vertex by vertex, labels at once; compacted.
+
+    ``order``: ascending degree (then id), or random, a permutation for each seed.
+
+    Its sweeps depend on their order, so the whole graph is one task: for graphs that one task can hold.
     """
-    if g.n > SEQUENTIAL:
-        return synchronous_labels(g, weighted, sweeps, capacity)
     rows = g.nodes.select("id").join(weighted.select(F.col("src").alias("id"), "dst", "w"), "id", "left").withColumn("one", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,9 +94,11 @@ def label_propagation(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capac
         for i, dst, w in pdf.dropna().sort_values(["id", "dst"])[["id", "dst", "w"]].itertuples(index=False):
             near[int(i)].append((int(dst), w))
         label, size = {i: i for i in near}, dict.fromkeys(near, 0)
-        order = sorted(near, key=lambda i: (len(near[i]), i))
+        turns = sorted(near, key=lambda i: (len(near[i]), i))
+        if order == "random":
+            turns = np.random.default_rng(seed).permutation(turns).tolist()
         for _ in range(sweeps):
-            for v in order:
+            for v in turns:
                 weight: dict[int, float] = {}
                 for u, w in near[v]:
                     weight[label[u]] = weight.get(label[u], 0.0) + w
@@ -82,21 +114,6 @@ def label_propagation(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capac
     return compact(cut(rows.groupBy("one").applyInPandas(run, "id int, cluster int")))
 
 
-def synchronous_labels(g: Graph, weighted: DataFrame, sweeps: int, capacity: int) -> DataFrame:
-    """Distributed rounds: all vertices look at the labels of the round before; a full cluster takes its first
-    ``capacity`` applicants by weight. Another clustering than the sequential one, by the same rule."""
-    label = cut(g.nodes.select("id", F.col("id").alias("cluster")))
-    for step in range(min(sweeps, 6)):
-        moved = weighted.join(label.select(F.col("id").alias("dst"), "cluster"), "dst").groupBy("src", "cluster").agg(F.sum("w").alias("w"), F.min("dst").alias("u"))
-        # every other vertex moves in a round, so that two neighbours don't swap for ever
-        moved = moved.where(F.pmod(F.xxhash64("src", F.lit(step)), F.lit(2)) == 0)
-        pick = moved.groupBy("src").agg(F.max_by("cluster", F.struct("w", -F.col("u"))).alias("to"), F.max("w").alias("w"))
-        size = label.groupBy(F.col("cluster").alias("to")).agg(F.count(F.lit(1)).alias("size"))
-        pick = pick.join(size, "to").withColumn("place", F.row_number().over(Window.partitionBy("to").orderBy(F.desc("w"), "src"))).where(F.col("place") + F.col("size") <= capacity + 1)
-        label = cut(label.join(pick.select(F.col("src").alias("id"), "to"), "id", "left").select("id", F.coalesce("to", "cluster").alias("cluster")))
-    return compact(label)
-
-
 def aggressive_merge(g: Graph, weighted: DataFrame, parents: DataFrame | None) -> DataFrame:
     """(id, cluster): vertices whose last contraction joined at most one finer vertex go to their heaviest neighbour.
 
@@ -124,12 +141,17 @@ class Layer:
     parents: DataFrame
 
 
-def hierarchy(g: Graph, smallest: int = SMALLEST, most: int = 60) -> list[Layer]:
-    """Layers from the graph itself to one that all of ends in one vertex."""
+def hierarchy(g: Graph, smallest: int = SMALLEST, most: int = 60, propagate: Callable = label_propagation) -> list[Layer]:
+    """Layers from the graph itself to one that all of ends in one vertex.
+
+    ``propagate``: label_propagation or sequential_labels. More than ``most`` layers are an error.
+    """
     layers, ratio, parents = [], 0.0, None
     weights = cut(g.edges.withColumn("w", F.lit(1.0)))
-    while g.n > smallest and g.m > 0 and len(layers) < most:
-        clusters = cut(label_propagation(g, weights) if ratio < 0.5 else aggressive_merge(g, weights, parents))
+    while g.n > smallest and g.m > 0:
+        if len(layers) == most:
+            raise RuntimeError(f"more than {most} layers")
+        clusters = cut(propagate(g, weights) if ratio < 0.5 else aggressive_merge(g, weights, parents))
         coarse_n = clusters.agg(F.count_distinct("cluster")).first()[0]
         if coarse_n == g.n and ratio >= 0.5:
             break  # a merge that doesn't shrink would never end

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.plans.components import connected_components
+from graphloom.session import cut
 
 
 def symmetric(pairs: DataFrame) -> DataFrame:
@@ -23,11 +24,14 @@ class Graph:
     edges: DataFrame
 
     @staticmethod
-    def from_edges(pairs: DataFrame, vertices: DataFrame | None = None) -> Graph:
-        """From src, dst rows in any orientation, repeated or not; ids 0..max all exist (gaps are isolated)."""
+    def from_edges(pairs: DataFrame, vertices: DataFrame | None = None, covering: bool = False) -> Graph:
+        """From src, dst rows in any orientation, repeated or not; ids 0..max all exist (gaps are isolated).
+
+        ``covering``: the vertices have the largest id of the pairs, too, which then aren't made just to find it.
+        """
         spark = pairs.sparkSession
-        ids = pairs.select(F.greatest("src", "dst").alias("id"))
-        if vertices is not None:
+        ids = vertices.select("id") if covering else pairs.select(F.greatest("src", "dst").alias("id"))
+        if vertices is not None and not covering:
             ids = ids.union(vertices.select("id"))
         top = ids.agg(F.max("id")).first()[0]
         nodes = spark.range(0 if top is None else int(top) + 1).select(F.col("id").cast("int").alias("id"))
@@ -77,6 +81,15 @@ class Graph:
         rank = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
         return self.edges.withColumn("rank", rank).join(start, "src").select((F.col("start") + F.col("rank")).alias("eid"), "src", "dst")
 
+    def edge_contents(self) -> DataFrame:
+        """(id, eids): edge ids that leave each vertex, ascending; isolated vertices have none."""
+        own = self.edge_ids().groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("eid")).alias("eids"))
+        return self.nodes.select("id").join(own, "id", "left").select("id", F.coalesce("eids", F.array().cast("array<bigint>")).alias("eids"))
+
+    def edge_targets(self, eids: DataFrame) -> DataFrame:
+        """eids(eid) with the ends (src, dst) of each."""
+        return eids.join(self.edge_ids(), "eid").select("eid", "src", "dst")
+
     def neighbours(self) -> DataFrame:
         """(id, nbrs): ascending; isolated vertices have none."""
         own = self.edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
@@ -141,11 +154,12 @@ def consecutive(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
     """(src, dst) of each two neighbouring values in order, where they differ.
 
     A range partitioning keeps the order without one big sort: pairs form inside the ranges, and the first
-    and last row of each range (as many rows as there are ranges) close the gaps between them.
+    and last row of each range (as many rows as there are ranges) close the gaps between them. The ranges are
+    written down once, since another execution may draw other ones.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*order)
-    dealt = rows.select(F.col(value).alias("v"), key.alias("k")).repartitionByRange(n, "k").withColumn("part", F.spark_partition_id())
+    dealt = cut(rows.select(F.col(value).alias("v"), key.alias("k")).repartitionByRange(n, "k").withColumn("part", F.spark_partition_id()))
     inner = dealt.select(F.lag("v").over(Window.partitionBy("part").orderBy("k")).alias("src"), F.col("v").alias("dst"))
     ends = dealt.groupBy("part").agg(F.min_by("v", "k").alias("first"), F.max_by("v", "k").alias("last"), F.min("k").alias("k"))
     across = ends.select(F.lag("last").over(Window.orderBy("k")).alias("src"), F.col("first").alias("dst"))

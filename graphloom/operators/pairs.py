@@ -9,13 +9,17 @@ equi-join; the exact test follows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.random import uniform
-from graphloom.functions.spaces import Point, distance, inf_distance, sq_distance
+from graphloom.functions.spaces import Point, distance, inf_distance, sq_distance, total
 from graphloom.operators.graph import Graph
 
 #: Up to this many points the theta join is used (its broadcast side is then a few MB at most).
@@ -69,12 +73,22 @@ def class_maxima(points: DataFrame, buckets: list[float]) -> list[float]:
     return [*buckets, top if top is not None else 0.0]
 
 
-def weighted_within(points: DataFrame, radius: float, strict: bool = False, theta: int = THETA, queries: DataFrame | None = None) -> DataFrame:
-    """(a_*, b_*) ordered pairs, a other than b, with dist <= radius * (w_a w_b)^(1/d)."""
+def against(many: DataFrame, few: DataFrame, test: Column, key: str, theta: int = THETA) -> DataFrame:
+    """many x few where the test holds: a theta join in which ``few`` is broadcast in blocks of about theta / 2 rows."""
+    blocks = -(-few.count() // max(1, theta // 2)) if few.limit(theta + 1).count() > theta else 1
+    if blocks == 1:
+        return many.join(F.broadcast(few), test)
+    dealt = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return reduce(DataFrame.unionAll, [many.join(F.broadcast(few.where(dealt == k)), test) for k in range(blocks)])
+
+
+def weighted_within(points: DataFrame, radius: float, strict: bool = False, theta: int = THETA, queries: DataFrame | None = None, additive: bool = False) -> DataFrame:
+    """(a_*, b_*) ordered pairs, a other than b, with dist <= radius * (w_a w_b)^(1/d); additive: w_a^(1/d) + w_b^(1/d)."""
     d = dimension(points)
     queries = points if queries is None else queries
     a, b = named(queries, "a"), named(points, "b")
-    reach = radius * F.pow(F.col("a_w") * F.col("b_w"), F.lit(1.0 / d))
+    root = F.lit(1.0 / d)
+    reach = radius * (F.pow("a_w", root) + F.pow("b_w", root) if additive else F.pow(F.col("a_w") * F.col("b_w"), root))
     gap = distance(coords("a", d), coords("b", d))
     exact = (F.col("a_id") != F.col("b_id")) & ((gap < reach) if strict else (gap <= reach))
     if points.limit(theta + 1).count() <= theta:
@@ -82,7 +96,8 @@ def weighted_within(points: DataFrame, radius: float, strict: bool = False, thet
     buckets = weight_buckets(points.select("w").union(queries.select("w")))
     tops = class_maxima(points.select("w").union(queries.select("w")), buckets)
     n = len(tops)
-    widths = [[max(radius * (tops[i] * tops[j]) ** (1.0 / d), 1e-12) * (1 + 1e-9) for j in range(n)] for i in range(n)]
+    far = lambda x, y: x ** (1.0 / d) + y ** (1.0 / d) if additive else (x * y) ** (1.0 / d)
+    widths = [[max(radius * far(tops[i], tops[j]), 1e-12) * (1 + 1e-9) for j in range(n)] for i in range(n)]
     width = F.array(*[F.array(*[F.lit(x) for x in row]) for row in widths])
     dims = range(min(CELL_DIMS, d))
 
@@ -100,17 +115,48 @@ def weighted_within(points: DataFrame, radius: float, strict: bool = False, thet
     return left.join(right, keys).where(exact).drop(*keys)
 
 
+def main_axis(points: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and unit direction of the largest spread: the first right singular vector of the centred points.
+
+    Partitions add up their moments; the driver gets one d x d matrix.
+    """
+    d = dimension(points)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, one, two = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in b.columns], axis=1)
+            n, one, two = n + len(x), one + x.sum(axis=0), two + x.T @ x
+        flat = np.r_[float(n), one, two.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "v"])
+
+    parts = points.select(*[f"p{k}" for k in range(d)]).mapInArrow(run, "k long, v double")
+    flat = np.array([r.v for r in parts.groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()])
+    if not len(flat) or not flat[0]:
+        return np.zeros(d), np.eye(d)[0]
+    mean = flat[1 : d + 1] / flat[0]
+    spread = flat[d + 1 :].reshape(d, d) / flat[0] - np.outer(mean, mean)
+    return mean, np.linalg.eigh(spread)[1][:, -1] if np.isfinite(spread).all() else np.eye(d)[0]
+
+
 def within(points: DataFrame, queries: DataFrame, theta: int = THETA) -> DataFrame:
-    """(qid, id) of points within each query's radius (inclusive); queries: qid, p0.., radius."""
+    """(qid, id) of points within each query's radius (inclusive); queries: qid, p0.., radius.
+
+    Beyond ``theta`` queries, by bands along the main axis, a median radius wide; a wider query takes more of them.
+    """
     d = dimension(points)
     a, b = named(queries, "a"), named(points, "b")
     exact = sq_distance(coords("a", d), coords("b", d)) <= F.col("a_radius") * F.col("a_radius")
     if queries.limit(theta + 1).count() <= theta:
         joined = b.join(F.broadcast(a), exact)
     else:
-        side = queries.agg(F.max("radius")).first()[0] or 1.0
-        bands = F.sequence(F.floor((F.col("a_p0") - F.col("a_radius")) / side), F.floor((F.col("a_p0") + F.col("a_radius")) / side))
-        joined = a.withColumn("band", F.explode(bands)).join(b.withColumn("band", F.floor(F.col("b_p0") / side)), "band").where(exact)
+        mean, axis = main_axis(points)
+        r = queries.agg(F.percentile_approx("radius", 0.5), F.max("radius")).first()
+        side = r[0] or r[1] or 1.0
+        along = lambda x: total([(F.col(f"{x}_p{k}") - float(mean[k])) * float(axis[k]) for k in range(d)])
+        reach = F.col("a_radius") * (1 + 1e-9) + 1e-9 * side  # a projection shortens distances, up to rounding
+        bands = F.sequence(F.floor((along("a") - reach) / side), F.floor((along("a") + reach) / side))
+        joined = a.withColumn("band", F.explode(bands)).join(b.withColumn("band", F.floor(along("b") / side)), "band").where(exact)
     return joined.select(F.col("a_qid").alias("qid"), F.col("b_id").alias("id"))
 
 
@@ -124,12 +170,10 @@ def within_box(points: DataFrame, radius: float) -> DataFrame:
 def nearest(points: DataFrame, queries: DataFrame, k: int, theta: int = THETA) -> DataFrame:
     """(a_id, b_id, rank, dist): k nearest points of each query but itself; ties to smaller ids.
 
-    A checked number of queries is broadcast; each task keeps its k best by a partial top-k before the shuffle.
+    Queries are broadcast in blocks of checked size; each task keeps its k best by a partial top-k before the shuffle.
     """
     d = dimension(points)
-    if queries.limit(theta + 1).count() > theta:
-        raise ValueError(f"more than {theta} queries: pass them in blocks")
-    pairs = named(points, "b").join(F.broadcast(named(queries, "a")), F.col("a_id") != F.col("b_id"))
+    pairs = against(named(points, "b"), named(queries, "a"), F.col("a_id") != F.col("b_id"), "a_id", theta)
     pairs = pairs.select("a_id", "b_id", distance(coords("a", d), coords("b", d)).alias("dist"))
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy("dist", "b_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -143,26 +187,36 @@ def attached(edges: DataFrame, points: DataFrame) -> DataFrame:
 def non_edges(g: Graph, points: DataFrame, p: float = 1.0, seed: int = 0, theta: int = THETA) -> DataFrame:
     """(a_*, b_*) for pairs a < b that are no edge, each taken with probability p.
 
-    p = 1 gives all; there are n(n-1)/2 of them, so the number of points is checked. For p < 1 pairs are drawn: a
-    Poisson-like number of slots per vertex, made by hash, not by passing over all pairs.
+    p = 1 gives all; there are n(n-1)/2 of them, made in blocks. For p < 1 each vertex jumps over its larger ones in
+    geometric steps, which takes every pair with probability p by itself and costs the pairs taken, not all. Ids are
+    those from 0 to n - 1.
     """
     if p >= 1:
-        if points.limit(theta + 1).count() > theta:
-            raise ValueError(f"all pairs of more than {theta} points: take a sample, p < 1")
-        pairs = named(points, "a").join(F.broadcast(named(points, "b")), F.col("a_id") < F.col("b_id"))
+        pairs = against(named(points, "a"), named(points, "b"), F.col("a_id") < F.col("b_id"), "b_id", theta)
     else:
-        n = g.n
-        slots = g.nodes.select(F.col("id").alias("a_id"))
-        mean = p * (n - 1) / 2
-        wanted = F.floor(F.lit(mean) + uniform(seed, F.col("a_id"), 1)).cast("int")
-        drawn = slots.withColumn("k", F.explode(F.when(wanted > 0, F.sequence(F.lit(1), wanted)).otherwise(F.array().cast("array<int>"))))
-        drawn = drawn.withColumn("o", F.floor(uniform(seed, F.col("a_id"), F.col("k"), 2) * n).cast("int")).where("o <> a_id")
-        drawn = drawn.select(F.least("a_id", "o").alias("a_id"), F.greatest("a_id", "o").alias("b_id")).distinct()
-        pairs = drawn.join(named(points, "a"), "a_id").join(named(points, "b"), "b_id")
+        pairs = jumps(g.nodes, g.n, p, seed).join(named(points, "a"), "a_id").join(named(points, "b"), "b_id")
     e = g.edges.select(F.col("src").alias("a_id"), F.col("dst").alias("b_id"))
     return pairs.join(e, ["a_id", "b_id"], "left_anti")
 
 
+def jumps(nodes: DataFrame, n: int, p: float, seed: int) -> DataFrame:
+    """(a_id, b_id), a < b < n: each pair with probability p, the same on any partitioning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in batch.column(0).to_pylist():
+                draw, at = np.random.default_rng([seed & 0xFFFFFFFF, a]), a
+                while at < n and p > 0:
+                    size = min(1 << 20, int(1.1 * p * (n - at)) + 16)
+                    steps = at + np.cumsum(draw.geometric(p, size))
+                    b = steps[steps < n]
+                    if len(b):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), a, np.int32)), pa.array(b.astype(np.int32))], ["a_id", "b_id"])
+                    at = int(steps[-1])
+
+    return nodes.select("id").mapInArrow(run, "a_id int, b_id int")
+
+
 def negative_candidates(g: Graph, k: int, seed: int, iteration: int) -> DataFrame:
     """(src, dst): k random other vertices of each vertex, without repeats and without neighbours."""
     n = g.n

@@ -15,7 +15,7 @@ from graphloom.functions.random import uniform
 from graphloom.operators.coarsen import Layer, expand, hierarchy
 from graphloom.operators.graph import Graph
 from graphloom.operators.pairs import nest
-from graphloom.operators.step import Forces, adam, degree_weights, displacement, forces, recentred, rescaled, simple, unit_weights
+from graphloom.operators.step import Forces, adam, degree_weights, displacement, forces, ordered_sums, recentred, rescaled, simple, unit_weights
 from graphloom.session import cut
 
 
@@ -51,6 +51,7 @@ class Options:
     stop_loss_tol: float = 1e-3
     stop_loss_patience: int = 50
     negative_samples: int = -1
+    index_size: float = 1.0
     additive_weights: bool = False
     seed: int = 0
 
@@ -187,7 +188,7 @@ class Embedder:
         o, d = self.options, self.options.dimension
         self.iteration += 1
         before = self.state
-        f = Forces(o.attraction, o.repulsion, o.centre, o.edge_length, o.additive_weights, o.negative_samples, o.seed, self.iteration)
+        f = Forces(o.attraction, o.repulsion, o.centre, o.edge_length, o.additive_weights, o.negative_samples, o.index_size, o.seed, self.iteration)
         lr = self.schedule.at(self.iteration)
         with self.timer.phase("forces"):
             acting = cut(forces(self.graph, self._points(before), f))
@@ -195,15 +196,15 @@ class Embedder:
             joined = before.join(acting.drop("attract", "repel"), "id")
             moved = adam(joined, d, lr, self.iteration) if o.optimizer == "adam" else simple(joined, d, lr, o.simple_max_displacement)
             moved = cut(moved.select(before.columns))
-            # literals for the centroid: the next plan stays narrow; ids in blocks keep sums the same anywhere
-            self.state = cut(recentred(moved.orderBy("id")))
+            # literals for the centroid: the next plan stays narrow
+            self.state = cut(recentred(moved))
         with self.timer.phase("observe"):
-            total = acting.orderBy("id").agg(F.sum("attract").alias("a"), F.sum("repel").alias("r")).first()
+            _, total = ordered_sums(acting, ["attract", "repel"])
             ratio = displacement(self._points(before), self._points(self.state)).first().ratio
-        self.loss = (total.a, total.r)
+        self.loss = (total["attract"], total["repel"])
         self.move_monitor.observe(ratio)
-        self.loss_monitor.observe(total.a + total.r)
-        self.trace.append((self.iteration, (time.perf_counter() - self.began) * 1000, self.n, total.a, total.r, total.a + total.r, lr, ratio, self.loss_monitor.rate))
+        self.loss_monitor.observe(sum(self.loss))
+        self.trace.append((self.iteration, (time.perf_counter() - self.began) * 1000, self.n, *self.loss, sum(self.loss), lr, ratio, self.loss_monitor.rate))
 
     @property
     def finished(self) -> bool:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.random import unit_vector
+from graphloom.functions.random import sample, unit_vector
 from graphloom.functions.spaces import distance, safe_divide, total
 from graphloom.operators.graph import Graph
 from graphloom.operators.pairs import attached, coords, dimension, named, negative_candidates, weighted_within
@@ -27,8 +27,8 @@ def unit_weights(g: Graph) -> DataFrame:
 def rescaled(weights: DataFrame, d: int, hint: float = -1) -> DataFrame:
     """w^(d / hint) if hint is positive, then scaled to mean 1."""
     raised = weights.select("id", (F.pow("w", F.lit(d / hint)) if hint > 0 else F.col("w")).alias("w"))
-    mean = raised.agg(F.avg("w")).first()[0]
-    return raised.select("id", (F.col("w") / F.lit(mean if mean else 1.0)).alias("w"))
+    n, all_ = ordered_sums(raised, ["w"])
+    return raised.select("id", (F.col("w") / F.lit(all_["w"] / n if n and all_["w"] else 1.0)).alias("w"))
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,7 @@ class Forces:
     length: float = 1.0
     additive: bool = False
     negatives: int = -1
+    index_size: float = 1.0
     seed: int = 0
     iteration: int = 0
 
@@ -66,15 +67,16 @@ def attraction(g: Graph, points: DataFrame, o: Forces = Forces()) -> DataFrame:
 
 
 def repulsion(g: Graph, points: DataFrame, o: Forces = Forces()) -> DataFrame:
-    """Over ordered pairs that are no edge and differ in color."""
+    """Over ordered pairs that are no edge and differ in color; index_size below 1: only such a part of the vertices,
+    drawn anew in each iteration, pushes others."""
     d = dimension(points)
     colored = points.join(g.nodes, "id")
     if o.negatives >= 0:
         pairs = attached(negative_candidates(g, o.negatives, o.seed, o.iteration), colored)
-    elif o.additive:  # the additive reach isn't bounded by the multiplicative one
-        pairs = named(colored, "a").join(named(colored, "b"), (F.col("a_id") != F.col("b_id")) & (distance(coords("a", d), coords("b", d)) <= o.length * (F.pow("a_w", F.lit(1.0 / d)) + F.pow("b_w", F.lit(1.0 / d)))))
     else:
-        pairs = weighted_within(colored.select(*points.columns, "color"), o.length * (1 + 1e-12))
+        every = colored.select(*points.columns, "color")
+        some = every if o.index_size >= 1 else sample(every, max(1, int(g.n * o.index_size)), o.seed + o.iteration)
+        pairs = weighted_within(some, o.length * (1 + 1e-12), queries=every, additive=o.additive)
     pairs = pairs.where("a_color <> b_color")
     e = g.edges.select(F.col("src").alias("a_id"), F.col("dst").alias("b_id"))
     parts = _parts(pairs.join(e, ["a_id", "b_id"], "left_anti"), d, o, False)
@@ -100,6 +102,12 @@ def deterministic_sum(df: DataFrame, by: list[str], key: str, values: list[str])
     return parts.groupBy(*by).agg(*[fold(F.col(v), F.col("_b")).alias(v) for v in values])
 
 
+def ordered_sums(df: DataFrame, values: list[str], key: str = "id") -> tuple[int, dict[str, float]]:
+    """How many rows there are, and the sum of each value: the same doubles on any partitioning."""
+    row = deterministic_sum(df.withColumn("_n", F.lit(1.0)), [], key, [*values, "_n"]).first()
+    return int(row["_n"] or 0), {v: row[v] for v in values}
+
+
 def forces(g: Graph, points: DataFrame, o: Forces = Forces()) -> DataFrame:
     """(id, f0.., attract, repel) of every vertex, zero where nothing acts; ordered sums."""
     d = dimension(points)
@@ -113,7 +121,7 @@ def forces(g: Graph, points: DataFrame, o: Forces = Forces()) -> DataFrame:
 
 
 def losses(g: Graph, points: DataFrame, o: Forces = Forces()) -> DataFrame:
-    """One row: attractive, repulsive, repelling_pairs."""
+    """One row: attractive, repulsive, repelling_pairs; sums in any order."""
     a = attraction(g, points, o).agg(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("attractive"))
     r = repulsion(g, points, o).agg(F.coalesce(F.sum("loss"), F.lit(0.0)).alias("repulsive"), F.count(F.lit(1)).alias("repelling_pairs"))
     return a.join(r)
@@ -134,7 +142,10 @@ def simple(state: DataFrame, d: int, lr: float, most: float = 1.0) -> DataFrame:
 
 
 def centroid(points: DataFrame) -> DataFrame:
-    return points.agg(*[F.avg(f"p{k}").alias(f"c{k}") for k in range(dimension(points))])
+    """One row (c0, ..): means by ordered sums; null without points."""
+    d = dimension(points)
+    sums = deterministic_sum(points.withColumn("_n", F.lit(1.0)), [], "id", [*[f"p{k}" for k in range(d)], "_n"])
+    return sums.select(*[F.when(F.col("_n") > 0, F.col(f"p{k}") / F.col("_n")).alias(f"c{k}") for k in range(d)])
 
 
 def recentred(points: DataFrame) -> DataFrame:
@@ -147,5 +158,6 @@ def displacement(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: mean displacement, RMS radius after, and their ratio (0 at radius 0)."""
     d = dimension(after)
     both = named(before, "a").join(named(after, "b"), F.col("a_id") == F.col("b_id"))
-    one = both.agg(F.avg(distance(coords("a", d), coords("b", d))).alias("displacement"), F.sqrt(F.avg(total([x * x for x in coords("b", d)]))).alias("radius"))
+    both = both.select(F.col("a_id").alias("id"), distance(coords("a", d), coords("b", d)).alias("moved"), total([x * x for x in coords("b", d)]).alias("square"), F.lit(1.0).alias("n"))
+    one = deterministic_sum(both, [], "id", ["moved", "square", "n"]).select((F.col("moved") / F.col("n")).alias("displacement"), F.sqrt(F.col("square") / F.col("n")).alias("radius"))
     return one.select("displacement", "radius", safe_divide(F.col("displacement"), F.col("radius"), F.lit(0.0)).alias("ratio"))

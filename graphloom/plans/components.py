@@ -1,6 +1,7 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join on the vertex; labels shrink toward the smallest
+Each step is one aggregation and one join on the vertex, which a vertex of very many edges doesn't gather in one task;
+labels shrink toward the smallest
 id in O(log^2 n) rounds whatever the diameter. Every round ends in a reliable checkpoint and
 the driver sees only a count and a checksum.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut, release
+from graphloom.session import cut, release, spread_join
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -19,11 +20,8 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
         both = both.where("v < u")
     centre = both.groupBy("u").agg(F.min("v").alias("m"))
     centre = centre.select(F.col("u"), F.least("u", "m").alias("m"))
-    if small:
-        linked = both.join(centre, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        linked = linked.union(centre.select(F.col("u"), F.col("m").alias("v")))
-    else:
-        linked = both.where("v > u").join(centre, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = spread_join(both if small else both.where("v > u"), centre, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = moved.union(centre.select(F.col("u"), F.col("m").alias("v"))) if small else moved
     return linked.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 

@@ -26,7 +26,8 @@ def copurchase_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph.from_edges(copurchase_pairs(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("id")))
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("id")).union(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("int")))
+    return Graph.from_edges(copurchase_pairs(spark, sf_dir), ids, covering=True)
 
 
 def vectors(spark: SparkSession, sf_dir: str, d: int, scale: float = 1.0) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -64,6 +66,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """rows x keyed on whole-number keys, where ``keyed`` is an aggregate of the rows and some keys may be hot.
+
+    The join is on a function of the keys, so neither side's earlier partitioning serves it: both get an exchange of
+    their own, and those are what Spark divides at run time (adaptive skew join).
+    """
+    made = [f"{k}__" for k in keys]
+    right = keyed.select(*(F.bitwise_not(F.col(k)).alias(m) for k, m in zip(keys, made, strict=True)), *(c for c in keyed.columns if c not in keys))
+    left = rows.withColumns({f"{m}l": F.bitwise_not(F.col(k)) for k, m in zip(keys, made, strict=True)})
+    on = reduce(lambda a, b: a & b, [left[f"{m}l"] == right[m] for m in made])
+    return left.join(right, on).drop(*made, *(f"{m}l" for m in made))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that were cut and are no longer held.
 

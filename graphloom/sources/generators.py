@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.random import uniform
 from graphloom.operators.graph import Graph
-from graphloom.operators.pairs import named, within
+from graphloom.operators.pairs import against, named, within
+from graphloom.operators.step import ordered_sums
 
 #: Expected degree of the unit-disc graph.
 DEGREE = 20
@@ -39,28 +40,34 @@ def random_disc_graph(spark: SparkSession, n: int, seed: int = 0) -> tuple[Graph
     return largest, mapping.join(points, mapping["old"] == points["id"]).select(F.col("new").alias("id"), "p0", "p1")
 
 
-def girg(spark: SparkSession, n: int = 1000, ple: float = 2.5, degree: float = 15, d: int = 2, temperature: float = 0.1, seed: int = 0, torus: bool = True, theta: int = 20_000) -> tuple[Graph, DataFrame]:
+def girg(spark: SparkSession, n: int = 1000, ple: float = 2.5, degree: float = 15, d: int = 2, temperature: float = 0.1, seed: int = 0, torus: bool = True, largest: bool = False) -> tuple[Graph, DataFrame]:
     """Geometric inhomogeneous random graph: power-law weights, uniform positions in the unit cube.
 
     Vertices join with probability min(1, (c w_u w_v / W / dist^d)^(1/T)) under the maximum norm, at temperature 0
-    if that base reaches 1; c is chosen by bisection to meet the mean degree over pairs of a sample.
-    Returns the graph and (id, p0.., w). The number of vertices is checked: pairs are a theta join.
+    if that base reaches 1; c meets the mean degree on the torus. Without the torus positions are halved, so that
+    nothing wraps, and weights shrink alike. Returns the graph and (id, p0.., w) with the weights scaled by c;
+    ``largest``: only the largest component, its vertices renumbered. All pairs are looked at, in blocks.
     """
-    if n > theta:
-        raise ValueError(f"more than {theta} vertices")
     w = F.pow(1 - uniform(seed, F.col("id"), 50), F.lit(-1.0 / (ple - 1)))
     pts = spark.range(n).select(F.col("id").cast("int").alias("id"), *[uniform(seed + 1, F.col("id"), k).alias(f"p{k}") for k in range(d)], w.alias("w"))
-    total = pts.agg(F.sum("w")).first()[0]
-    gaps = []
-    for k in range(d):
-        x = F.abs(F.col(f"a_p{k}") - F.col(f"b_p{k}"))
-        gaps.append(F.least(x, 1 - x) if torus else x / 2)
-    gap = F.greatest(*gaps) if d > 1 else gaps[0]
-    pairs = named(pts, "a").join(F.broadcast(named(pts, "b")), F.col("a_id") < F.col("b_id"))
-    base = pairs.select("a_id", "b_id", (F.col("a_w") * F.col("b_w") / total / F.pow(F.greatest(gap, F.lit(1e-12)), F.lit(float(d)))).alias("x"), uniform(seed + 2, F.col("a_id"), F.col("b_id")).alias("u"))
-    # the least c at which a pair joins: one number for each pair, so the wanted mean degree is a quantile
-    need = base.select("a_id", "b_id", ((F.lit(1.0) if temperature == 0 else F.pow(F.col("u"), F.lit(float(temperature)))) / F.col("x")).alias("need"))
+    _, sums = ordered_sums(pts, ["w"])
+    pairs = against(named(pts, "a"), named(pts, "b"), F.col("a_id") < F.col("b_id"), "b_id")
+    chance = F.lit(1.0) if temperature == 0 else F.pow(uniform(seed + 2, F.col("a_id"), F.col("b_id")), F.lit(float(temperature)))
+
+    def need(wraps: bool) -> DataFrame:
+        """The least c at which a pair joins: one number for each pair, so the wanted mean degree is a quantile."""
+        gaps = [F.abs(F.col(f"a_p{k}") - F.col(f"b_p{k}")) for k in range(d)]
+        gaps = [F.least(x, 1 - x) for x in gaps] if wraps else gaps
+        far = F.pow(F.greatest(F.greatest(*gaps) if d > 1 else gaps[0], F.lit(1e-12)), F.lit(float(d)))
+        return pairs.select("a_id", "b_id", (chance * sums["w"] * far / (F.col("a_w") * F.col("b_w"))).alias("need"))
+
     share = min(1.0, degree * n / 2 / max(1, n * (n - 1) // 2))
-    c = need.approxQuantile("need", [share], 1e-4)[0] if n > 1 else 0.0
-    edges = need.where(F.col("need") <= c).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
-    return Graph.from_edges(edges, pts.select("id")), pts
+    c = need(True).approxQuantile("need", [share], 1e-4)[0] if n > 1 else 1.0
+    edges = need(torus).where(F.col("need") <= c).select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))
+    half = 1.0 if torus else 0.5
+    pts = pts.select("id", *[(F.col(f"p{k}") * half).alias(f"p{k}") for k in range(d)], (F.col("w") * (c * half**d)).alias("w"))
+    g = Graph.from_edges(edges, pts.select("id"), covering=True)
+    if not largest:
+        return g, pts
+    part, mapping = g.largest_component()
+    return part, pts.join(mapping.withColumnRenamed("old", "id"), "id").drop("id").withColumnRenamed("new", "id").select(*pts.columns)

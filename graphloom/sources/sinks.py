@@ -70,15 +70,36 @@ def svg(spark: SparkSession, g: Graph, points: DataFrame, shades: DataFrame | No
     return ends.union(lines).union(dots)
 
 
-def ipe(spark: SparkSession, g: Graph, points: DataFrame, scale: float = 500.0, margin: float = 50.0) -> DataFrame:
-    """(part, src, dst, value) lines of an IPE drawing: coordinates scaled into a square, one decimal."""
-    x0, x1, y0, y1 = _frame(points)
-    k = scale / max(x1 - x0, y1 - y0, 1e-12)
-    p = points.select("id", (F.lit(margin) + (F.col("x") - x0) * k).alias("x"), (F.lit(margin) + (F.col("y") - y0) * k).alias("y"))
+#: The head of an IPE file. Fixed format.
+IPE_HEAD = """<?xml version="1.0"?>
+<!DOCTYPE ipe SYSTEM "ipe.dtd">
+<ipe version="70206" creator="Ipe 7.2.6">
+<ipestyle name="dummy">
+<symbol name="mark/disk(sx)" transformations="translations">
+<path fill="sym-stroke">0.6 0 0 0.6 0 0 e</path>
+</symbol>
+</ipestyle>
+<page>
+<layer name="alpha"/>
+<view layers="alpha" active="alpha"/>"""
+
+
+def ipe(spark: SparkSession, g: Graph, points: DataFrame, shades: DataFrame | None = None, scale: float | None = None, margin: float = 50.0) -> DataFrame:
+    """(part, src, dst, value) lines of an IPE drawing: edges once, then vertices; positions with one decimal.
+
+    Coordinates times ``scale`` plus ``margin``; without a scale they are put into a square of 500. ``shades``:
+    (id, r, g, b) as from colors(); others are black.
+    """
+    x0 = y0 = 0.0
+    if scale is None:
+        x0, x1, y0, y1 = _frame(points)
+        scale = 500.0 / max(x1 - x0, y1 - y0, 1e-12)
+    p = points.select("id", (F.lit(margin) + (F.col("x") - x0) * scale).alias("x"), (F.lit(margin) + (F.col("y") - y0) * scale).alias("y"))
     lines = g.canonical().join(p.toDF("src", "xa", "ya"), "src").join(p.toDF("dst", "xb", "yb"), "dst")
-    lines = lines.select(F.lit(1).alias("part"), "src", "dst", F.format_string("<path>%.1f %.1f m %.1f %.1f l</path>", "xa", "ya", "xb", "yb").alias("value"))
-    dots = p.select(F.lit(2).alias("part"), F.col("id").alias("src"), F.lit(0).alias("dst"), F.format_string('<use name="mark/disk(sx)" pos="%.1f %.1f"/>', "x", "y").alias("value"))
-    ends = spark.createDataFrame([(0, 0, 0, '<ipe version="70005"><page>'), (3, 0, 0, "</page></ipe>")], "part int, src int, dst int, value string")
+    lines = lines.select(F.lit(1).alias("part"), "src", "dst", F.format_string('<path stroke="black">%.1f %.1f m %.1f %.1f l</path>', "xa", "ya", "xb", "yb").alias("value"))
+    shade = p.join(shades, "id", "left") if shades is not None else p.selectExpr("*", "0 as r", "0 as g", "0 as b")
+    dots = shade.select(F.lit(2).alias("part"), F.col("id").alias("src"), F.lit(0).alias("dst"), F.format_string('<use name="mark/disk(sx)" pos="%.1f %.1f" size="small" stroke="%.1f %.1f %.1f"/>', "x", "y", *[F.coalesce(c, F.lit(0)) / 255.0 for c in "rgb"]).alias("value"))
+    ends = spark.createDataFrame([(0, 0, 0, IPE_HEAD), (3, 0, 0, "</page>\n</ipe>")], "part int, src int, dst int, value string")
     return ends.union(lines).union(dots)
 
 

@@ -82,13 +82,25 @@ def test_hierarchy_and_labels(spark):
     assert len(layers) == 2
     assert set(values(layers[0].parents, "id", "cluster").values()) == {0} and values(layers[1].parents, "id", "cluster") == {0: -1}
     ring = graph(spark, [(i, (i + 1) % 40) for i in range(40)])
-    deep = coarsen.hierarchy(ring)
+    deep = coarsen.hierarchy(ring, propagate=coarsen.sequential_labels)
     sizes = list(coarsen.sizes(deep))
     assert sizes[0] == 40 and sizes[-1] == 1 and all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
     nodes, children = coarsen.layer_tables(deep)
     assert nodes.where("layer = 0").count() == 40 and children.where("layer = 1").agg(F.sum(F.size("children"))).first()[0] == 40
-    weighted = ring.edges.withColumn("w", F.lit(1.0))
-    assert coarsen.synchronous_labels(ring, weighted, 4, 6).groupBy("cluster").count().agg(F.max("count")).first()[0] <= 7
+    with pytest.raises(RuntimeError, match="layers"):
+        coarsen.hierarchy(ring, most=0, propagate=coarsen.sequential_labels)
+
+
+def test_label_propagation(spark):
+    # two cliques of five, joined by an edge, and a chain of three
+    edges = [(a, b) for k in (0, 5) for a in range(k, k + 5) for b in range(a + 1, k + 5)] + [(10, 11), (11, 12)]
+    g = graph(spark, [*edges, (4, 5)])
+    weighted = g.edges.withColumn("w", F.lit(1.0))
+    out = [values(coarsen.label_propagation(Graph(g.nodes.repartition(n), g.edges), weighted.repartition(n), sweeps=2, capacity=3), "id", "cluster") for n in (2, 5)]
+    assert out[0] == out[1] and 1 < max(list(out[0].values()).count(c) for c in out[0].values()) <= 3
+    seq = values(coarsen.sequential_labels(g, weighted), "id", "cluster")
+    assert len(seq) == 13 and max(list(seq.values()).count(c) for c in seq.values()) <= 7
+    assert len(values(coarsen.sequential_labels(g, weighted, order="random", seed=3), "id", "cluster")) == 13
 
 
 def test_aggressive_merge_pairs_lone_vertices(spark):
@@ -198,11 +210,58 @@ def test_metrics(spark):
 def test_sampled_pairs_are_non_edges(spark):
     g = graph(spark, [(i, (i + 1) % 80) for i in range(80)])
     p = points(spark, [(i, 0) for i in range(80)])
-    got = pairs.non_edges(g, p, p=0.1, seed=3).select("a_id", "b_id").collect()
-    assert 150 < len(got) < 500 and all(a < b and (b - a) % 80 not in (1, 79) for a, b in got)
+    for chance in (0.1, 0.5, 0.9):
+        got = [tuple(r) for r in pairs.non_edges(g, p, p=chance, seed=3).select("a_id", "b_id").collect()]
+        assert len(set(got)) == len(got) and all(a < b and (b - a) % 80 not in (1, 79) for a, b in got)
+        assert abs(len(got) - chance * 3080) < 4.5 * math.sqrt(3080 * chance * (1 - chance))
+        again = pairs.non_edges(Graph(g.nodes.repartition(7), g.edges), p, p=chance, seed=3).select("a_id", "b_id").collect()
+        assert sorted(map(tuple, again)) == sorted(got)
+    assert pairs.jumps(g.nodes, 80, 0.0, 1).count() == 0
     assert pairs.negative_candidates(g, 3, 1, 1).count() > 100
 
 
+def test_blocks_of_queries_give_the_same(spark, monkeypatch):
+    p = points(spark, [(uniform_point(i, 0), uniform_point(i, 1)) for i in range(90)])
+    g = graph(spark, [(i, (i + k) % 90) for i in range(90) for k in (1, 3)])
+    got = [[sorted(map(tuple, x.collect())) for x in (pairs.nearest(p, p, 3, theta=t), pairs.non_edges(g, p, theta=t).select("a_id", "b_id"))] for t in (1000, 20)]
+    assert got[0] == got[1] and len(got[0][0]) == 270
+    whole = metrics.reconstruction(metrics.node_scores(metrics.ranked(g, p, digits=9))).first()
+    monkeypatch.setattr(pairs.against, "__defaults__", (20,))
+    assert all(abs(a - b) < 1e-12 for a, b in zip(whole, metrics.reconstruction(metrics.node_scores(metrics.ranked(g, p, digits=9))).first(), strict=True))
+    a = [{tuple(r) for r in pairs.weighted_within(p, 0.05, theta=t, additive=True).select("a_id", "b_id").collect()} for t in (1000, 0)]
+    assert a[0] == a[1] and len(a[0]) > 20
+
+
+def uniform_point(i, k):
+    return (i * (37 + 22 * k) % 91) / 91
+
+
+def test_ranges_are_drawn_once(spark):
+    """Partition numbers of a range partitioning that two branches use, where nothing reuses an exchange."""
+    n = 30_000
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        rows = spark.range(n).select(F.col("id").alias("t"), F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int").alias("v")).repartition(5)
+        v = [r.v for r in rows.orderBy("t").collect()]
+        want = sorted((a, b) for a, b in zip(v, v[1:], strict=False) if a != b)
+        assert sorted(map(tuple, consecutive(rows, "v", ["t"]).collect())) == want
+        pair = spark.range(n).select(F.round(uniform(1, F.col("id")), 3).alias("similarity"), F.col("id").cast("int").alias("v"), F.lit(0).alias("w"), (uniform(2, F.col("id")) < 0.3 / (1 + 4 * uniform(1, F.col("id")))).alias("is_edge"))
+        got = metrics.f1_sweep(pair, 4000, 20_000).first()
+        seen = sorted(pair.collect())
+        seen.sort(key=lambda r: (r.similarity, r.is_edge, r.v, r.w))
+        m, f = sum(r.is_edge for r in seen), sum(not r.is_edge for r in seen)
+        best, e = (0.0,), 0
+        for k, r in enumerate(seen, 1):
+            e += r.is_edge
+            if e:
+                tp, fp = e / m * 4000, (k - e) / f * 20_000
+                precision, recall = tp / (tp + fp), e / m
+                best = max(best, (2 / (1 / precision + 1 / recall), precision, recall), key=lambda x: x[0])
+        assert abs(got.f1 - best[0]) < 1e-12 and abs(got.precision - best[1]) < 1e-9 and abs(got.recall - best[2]) < 1e-9
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+
+
 def test_monitors_and_schedules(spark):
     m = LossMonitor(1e-2, 2, 0.3, 2)
     seen = []
@@ -227,6 +286,25 @@ def test_monitors_and_schedules(spark):
     assert rates == [8, 8, 8, 4, 4, 2]
 
 
+def test_a_part_of_the_vertices_pushes(spark):
+    g = graph(spark, [(i, (i + 1) % 60) for i in range(60)])
+    p = points(spark, [(uniform_point(i, 0), uniform_point(i, 1)) for i in range(60)])
+    whole = step.repulsion(g, p)
+    part = step.repulsion(g, p, step.Forces(index_size=0.1, seed=5, iteration=1)).cache()
+    assert part.select("other").distinct().count() == 6 < whole.select("other").distinct().count() and part.select("id").distinct().count() > 50
+    assert part.join(whole, ["id", "other"], "left_anti").isEmpty()
+    other = step.repulsion(g, p, step.Forces(index_size=0.1, seed=5, iteration=2))
+    assert {r.other for r in part.select("other").distinct().collect()} != {r.other for r in other.select("other").distinct().collect()}
+
+
+def test_bands_run_along_the_main_axis(spark):
+    p = points(spark, [(0.001 * uniform_point(i, 0), 5 * i + uniform_point(i, 1)) for i in range(90)])
+    mean, axis = pairs.main_axis(p.repartition(4))
+    assert abs(abs(axis[1]) - 1) < 1e-3 and abs(mean[1] - 223) < 2
+    q = p.select(F.col("id").alias("qid"), "p0", "p1", (F.col("id") % 7 * 3.0).alias("radius"))
+    assert {tuple(r) for r in pairs.within(p, q, theta=0).collect()} == {tuple(r) for r in pairs.within(p, q).collect()}
+
+
 def test_timer_is_a_tree():
     t = Timer()
     with t.phase("a"):
@@ -246,14 +324,19 @@ def ring(spark):
     return graph(spark, [(v, (v + k) % 64) for v in range(64) for k in (1, 7)])
 
 
-def test_runs_are_the_same_on_any_partitioning(spark):
-    out = []
-    for n in (1, 7):
-        g = ring(spark)
-        e = Embedder(Graph(g.nodes.repartition(n), g.edges.repartition(n)), Options(dimension=2, seed=1234, max_iterations=2))
-        e.run()
-        out.append((values(e.state, "id", "p0", "p1"), e.loss))
-    assert out[0] == out[1]
+def test_runs_are_the_same_on_any_partitioning(spark, monkeypatch):
+    monkeypatch.setattr(step, "BLOCK", 16)  # several blocks even here
+    out, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            g = graph(spark, [(v, (v + k) % 150) for v in range(150) for k in (1, 7, 31)] + [(v, 0) for v in range(2, 40)])
+            e = Embedder(Graph(g.nodes.repartition(n), g.edges.repartition(n)), Options(dimension=2, seed=1234, max_iterations=2))
+            e.run()
+            out.append((values(e.state, "id", "p0", "p1", "w"), e.loss, e.trace[-1][2:]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert out[0] == out[1] == out[2]
 
 
 def test_optimizers_modes_and_stops(spark):
@@ -308,8 +391,10 @@ def test_random_graphs(spark):
     assert abs(2 * g.m / g.n - 20) < 3 and g.n > 1400 and p.count() == g.n
     h, _ = generators.girg(spark, 300, degree=10, seed=4)
     assert h.n == 300 and abs(2 * h.m / h.n - 10) < 1
-    cold, _ = generators.girg(spark, 100, degree=6, temperature=0, torus=False, seed=4)
-    assert cold.m > 100
+    cold, half = generators.girg(spark, 100, degree=6, temperature=0, torus=False, seed=4)
+    assert cold.m > 100 and half.agg(F.max("p0")).first()[0] <= 0.5
+    part, kept = generators.girg(spark, 100, degree=3, temperature=0, seed=4, largest=True)
+    assert part.is_connected() and part.n == kept.count() < 100 and kept.agg(F.max("id")).first()[0] == part.n - 1
 
 
 def test_hash_randomness(spark):
@@ -365,10 +450,10 @@ def test_component_queries_take_all_orders(spark, tmp_path):
     least = [min(u for u in range(16) if dist[v, u] >= 0) for v in range(16)]
     comp = [sorted(set(least)).index(x) for x in least]
     run = lambda name: e.queries()[name](spark, str(tmp_path))
-    assert values(run("components_whole"), "id", "comp") == dict(enumerate(comp))
-    assert values(run("component_sizes_whole"), "comp", "size") == {c: comp.count(c) for c in comp}
-    assert tuple(run("component_count_whole").first()) == (len(set(comp)), False)
-    assert {tuple(r) for r in run("largest_component_whole").collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
+    assert values(run("components"), "id", "comp") == dict(enumerate(comp))
+    assert values(run("component_sizes"), "comp", "size") == {c: comp.count(c) for c in comp}
+    assert tuple(run("component_count").first()) == (len(set(comp)), False)
+    assert {tuple(r) for r in run("largest_component").collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
 
 
 def test_all_pairs_query_starts_from_every_vertex(spark, tmp_path):
@@ -378,5 +463,5 @@ def test_all_pairs_query_starts_from_every_vertex(spark, tmp_path):
     users = [u for walk in walks for u in walk]
     spark.createDataFrame([(t, u, t, "purchase") for t, u in enumerate(users)] + [(99, 14, 99, "view")], "event_id long, user_id long, ts long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     want = by_search(14, list(zip(users, users[1:], strict=False)))
-    got = {(r.origin, r.id): r.dist for r in e.queries()["all_pairs_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.origin, r.id): r.dist for r in e.queries()["all_pairs_bfs"](spark, str(tmp_path)).collect()}
     assert got == want and max(want.values()) > 6 and len(got) == 14 * 14
