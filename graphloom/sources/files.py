@@ -60,7 +60,9 @@ def parse_coordinates(rows: DataFrame, comment: str = "%", delimiter: str = ",",
 
 
 def read_coordinates(spark: SparkSession, path: str, comment: str = "%", delimiter: str = ",") -> DataFrame:
-    return parse_coordinates(lines(spark, path), comment, delimiter)
+    """As parse_coordinates; lines in the order of files, blocks of a file and lines of a block."""
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return parse_coordinates(lines(spark, path).select("value", place.alias("place")), comment, delimiter, "place")
 
 
 def split_last(positions: DataFrame) -> DataFrame:
