@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,10 +72,9 @@ def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame
     their own, and those are what Spark divides at run time (adaptive skew join).
     """
     made = [f"{k}__" for k in keys]
-    right = keyed.select(*(F.bitwise_not(F.col(k)).alias(m) for k, m in zip(keys, made, strict=True)), *(c for c in keyed.columns if c not in keys))
-    left = rows.withColumns({f"{m}l": F.bitwise_not(F.col(k)) for k, m in zip(keys, made, strict=True)})
-    on = reduce(lambda a, b: a & b, [left[f"{m}l"] == right[m] for m in made])
-    return left.join(right, on).drop(*made, *(f"{m}l" for m in made))
+    turned = lambda df: df.select(*(F.bitwise_not(F.col(k)).alias(m) for k, m in zip(keys, made, strict=True)), *(c for c in df.columns if c not in keys))
+    joined = turned(rows).join(turned(keyed), made)
+    return joined.select(*(F.bitwise_not(F.col(m)).alias(k) for k, m in zip(keys, made, strict=True)), *(c for c in joined.columns if c not in made))
 
 
 def release(spark: SparkSession) -> None:
