@@ -1,18 +1,23 @@
 """Substring dedup by level-wise doubling.
 
-To find the windows of w words (50) that occur in a document of a smaller id:
-
-Level w/2. Of the half-length windows inside a window the one with the smallest hash is its anchor: equal
-windows have equal anchors, whatever stands around them. Neighbouring windows with one anchor form a run, so a
-document has about one run for each w/4 words. Runs whose anchor occurs in one document alone end here.
-
-Level w. Anchors that repeat are extended to the whole run. A run that an earlier document has too is covered by
-it. Where an anchor has different runs, only the first document of each run goes on: its windows are hashed at
-full length, and the smallest id of each window is found. A window in an earlier document is always also
-in the first document of that one's run, so nothing is lost.
-
-Each level keeps only what repeated at the level before; all levels aggregate before they shuffle, and a passage
-in a third of all documents is one row from each task.
+To find the windows of w words (50) that occur in a document of a smaller id, windows of growing length are
+looked at (13, 25, 50 words); those that repeat at one length, in different documents, are the only ones that are
+extended to the next, twice as long, until none survive or the full length is reached.
+
+At the first length only one window inside each full window is looked at, its anchor: the one with the smallest
+hash, the leftmost of equals. Equal full windows have equal anchors at equal places, so none is lost, and a document
+has about one anchor for each w/3 words. Neighbouring full windows with one anchor form a run. At the lengths
+between, the anchor is extended to the right where it stays inside the full window, else to the left; a run is cut
+where that changes, so that all full windows of a run go on or end together.
+
+At the full length a run is compared as a whole first: one that an earlier document has too is covered by it. Where
+survivors with one extended anchor are of different runs, the first document of each run goes on: its full windows
+are hashed, and the smallest id of each is found. A window in an earlier document is always also in the first
+document of that one's run, so nothing is lost.
+
+What is removed is decided by 128-bit hashes; shorter ones only choose candidates. All levels aggregate before they
+shuffle, and the joins of rows with the repeated hashes are plain ones between two exchanges, which Spark divides at
+run time where a passage of a third of all documents makes one hash hot.
 """
 
 from __future__ import annotations
@@ -25,48 +30,78 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import columns, gram_hashes, join_hash, mix, sliding, some, texts
+from graphloom.llm.common import columns, gram_hashes, mix, some, texts
 from graphloom.session import cut, prepare, stash
 
 WINDOW = 50
+#: The shortest first level; it is more than half of a level if the window is that short.
+FIRST = 8
 #: Words hashed together.
 BLOCK = 1 << 18
 
 
+def levels(window: int) -> list[int]:
+    """Lengths of the levels: the window, and halves of it down to FIRST words or more."""
+    out = [window]
+    while (half := (out[0] + 1) // 2) >= FIRST:
+        out.insert(0, half)
+    return out
+
+
+def leftmost_least(x: np.ndarray, n: int) -> np.ndarray:
+    """Where the smallest of each n consecutive values is, the leftmost of equals; by doubling."""
+    at, size = np.arange(len(x)), 1
+    while size < n and len(at):
+        step = min(size, n - size)
+        a, b = at[: max(0, len(at) - step)], at[step:]
+        at = np.where(x[b] < x[a], b, a)
+        size += step
+    return at
+
+
 class Runs:
-    """Windows of a few texts: all starts in order, and the runs they form."""
+    """Full windows of a few texts: all starts in order, the runs they form, and the hashes of both."""
 
     def __init__(self, split: list[list[bytes]], window: int):
+        lengths = levels(window)
         size = np.array([len(w) for w in split], np.int64)
         self.first = np.cumsum(size) - size  # word offset of each text
         n = int(size.sum())
-        h = np.fromiter((xxhash.xxh64_intdigest(x) for w in split for x in w), np.uint64, n)
-        half = max(1, window // 2)
-        if n < window:
-            self.start = self.text = self.head = self.run = np.zeros(0, np.int64)
-            self.hash = self.anchor = np.zeros(0, np.uint64)
-            return
-        g = gram_hashes(h, half)
-        low = sliding(np.minimum, g, window - half + 1)
-        full = join_hash(g[: n - window + 1], g[window - half : window - half + n - window + 1])
         per = np.maximum(0, size - window + 1)
-        #: word offset of each window, and its text
+        #: text of each window, and its word offset
         self.text = np.repeat(np.arange(len(split)), per)
         self.start = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.first, per)
-        self.hash, self.anchor = full[self.start], low[self.start]
         if not len(self.start):
-            self.head = self.run = np.zeros(0, np.int64)
+            self.head = self.run = self.start
+            self.hash, self.keys, self.code = np.zeros((2, 0), np.uint64), np.zeros((len(lengths) - 1, 0), np.uint64), np.zeros((2, 0), np.uint64)
             return
-        new = np.concatenate([[True], (self.anchor[1:] != self.anchor[:-1]) | (self.text[1:] != self.text[:-1])])
+        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for w in split for x in w]), ">u8").astype(np.uint64).reshape(n, 2).T
+        self.hash = np.stack([gram_hashes(lane, window)[self.start] for lane in h])
+        first, between = lengths[0], lengths[1:-1]
+        grams = gram_hashes(h[0], first) if len(lengths) > 1 else None
+        anchor = leftmost_least(grams, window - first + 1)[self.start] if len(lengths) > 1 else self.start
+        to_right = [anchor + size <= self.start + window for size in between]
+        changed = (anchor[1:] != anchor[:-1]) | (self.text[1:] != self.text[:-1])
+        for right in to_right:
+            changed |= right[1:] != right[:-1]
         #: first window of each run, and the run of each window
-        self.head = np.flatnonzero(new)
-        self.run = np.cumsum(new) - 1
-
-    def codes(self) -> np.ndarray:
-        """A hash of each run: of its anchor and all its windows."""
-        if not len(self.head):
-            return np.zeros(0, np.uint64)
-        return mix(np.add.reduceat(mix(self.hash), self.head) + mix(self.anchor[self.head]))
+        self.head = np.flatnonzero(np.r_[True, changed])
+        self.run = np.cumsum(np.r_[False, changed])
+        at = anchor[self.head]
+        keys = [grams[at]] if len(lengths) > 1 else []
+        for size, right in zip(between, to_right, strict=True):
+            right = right[self.head]
+            keys.append(mix(gram_hashes(h[0], size)[np.where(right, at, at + first - size)] + right))
+        #: of each run: its extended anchor at each level before the last; a hash of all its windows in order of level
+        self.keys = np.array(keys, np.uint64).reshape(len(lengths) - 1, len(self.head))
+        self.code = np.stack([mix(np.add.reduceat(mix(lane), self.head)) for lane in self.hash])
+
+    def once(self, text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which of the (2, n) hashes are the first of their kind in their text."""
+        order = np.lexsort((hashes[1], hashes[0], text))
+        t, h = text[order], hashes[:, order]
+        new = np.r_[True, (t[1:] != t[:-1]) | (h[:, 1:] != h[:, :-1]).any(axis=0)] if len(t) else np.zeros(0, bool)
+        return np.sort(order[new])
 
 
 def _blocks(rows: list, text_of) -> Iterator[tuple[list, list[list[bytes]]]]:
@@ -96,44 +131,58 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
     one blank. Repeats inside one document, and in rows that share an id, stay. Null and empty texts have no
     words; texts shorter than a window and rows with a null id stay whole. An empty table gives no rows.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     own = columns(docs, id_col, text_col)
     known = own.where("id is not null")
+    names = [f"k{j}" for j in range(len(levels(window)) - 1)]
 
-    def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
             for rows, words in _blocks(list(zip(b.column(0).to_pylist(), texts(b), strict=True)), lambda r: r[1]):
                 r = Runs(words, window)
+                text = r.text[r.head]
+                keep = r.once(text, r.code)
                 ids = np.array([x[0] for x in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([_long(r.anchor[r.head]), _long(r.codes()), pa.array(ids[r.text[r.head]])], ["anchor", "run", "id"])
-
-    runs = stash(known.mapInArrow(first_level, "anchor long, run long, id long"))
-    again = runs.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    alive = stash(runs.join(again, "anchor"))
-    # second level: the first document of each run, and how many different runs an anchor has
-    variants = cut(alive.groupBy("anchor", "run").agg(F.min("id").alias("first"), F.max("id").alias("last")))
-    split = variants.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    covered = alive.join(variants.where("first < last").select("anchor", "run", "first"), ["anchor", "run"]).where("id > first").select("id", F.col("run").alias("h")).distinct()
-    open_runs = variants.join(split, "anchor").select(F.col("first").alias("id"), "run").groupBy("id").agg(F.collect_set("run").alias("runs"))
-
-    def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield pa.RecordBatch.from_arrays([*(_long(k[keep]) for k in r.keys), _long(r.code[0, keep]), _long(r.code[1, keep]), pa.array(ids[text[keep]])], [*names, "c0", "c1", "id"])
+
+    alive = stash(known.mapInArrow(all_runs, ", ".join(f"{k} long" for k in [*names, "c0", "c1", "id"])))
+    for name in names:
+        again = cut(alive.groupBy(name).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select(name))
+        if again.isEmpty():
+            alive = alive.limit(0)
+            break
+        alive = stash(alive.join(again, name))
+    # the full length: the first document of each run, and which extended anchors have different runs
+    last = names[-1:]
+    variants = cut(alive.groupBy("c0", "c1", *last).agg(F.min("id").alias("first"), F.max("id").alias("last")))
+    repeated = cut(variants.where("first < last").groupBy("c0", "c1").agg(F.min("first").alias("first")))
+    covered = alive.join(repeated, ["c0", "c1"]).where("id > first").select("id", F.lit(True).alias("whole"), F.col("c0").alias("h"))
+    if last:
+        split = cut(variants.groupBy(*last).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*last))
+        open_runs = variants.join(split, last)
+    else:
+        open_runs = variants.limit(0)  # windows without a shorter level are runs of their own
+    open_runs = open_runs.groupBy(F.col("first").alias("id")).agg(F.collect_set("c0").alias("runs"))
+
+    def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
             for rows, words in _blocks(list(zip(b.column(0).to_pylist(), texts(b), b.column(2).to_pylist(), strict=True)), lambda r: r[1]):
                 r = Runs(words, window)
-                code, owner = r.codes().view(np.int64), r.text[r.head]
+                code, owner = r.code[0].view(np.int64), r.text[r.head]
                 wanted = np.zeros(len(code), bool)
                 edge = np.searchsorted(owner, np.arange(len(rows) + 1))
                 for k, x in enumerate(rows):
                     wanted[edge[k] : edge[k + 1]] = np.isin(code[edge[k] : edge[k + 1]], np.array(x[2], np.int64))
                 at = np.flatnonzero(wanted[r.run]) if len(r.run) else r.run
+                at = at[r.once(r.text[at], r.hash[:, at])]
                 ids = np.array([x[0] for x in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([_long(r.hash[at]), pa.array(ids[r.text[at]])], ["h", "id"])
+                yield pa.RecordBatch.from_arrays([_long(r.hash[0, at]), _long(r.hash[1, at]), pa.array(ids[r.text[at]])], ["h0", "h1", "id"])
 
-    windows = stash(known.join(open_runs, "id").select("id", "text", "runs").mapInArrow(second_level, "h long, id long"))
-    least = windows.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "first")
-    single = windows.join(least, "h").where("id > first").select("id", "h").distinct()
-    marked = covered.select("id", F.lit(True).alias("whole"), "h").union(single.select("id", F.lit(False).alias("whole"), "h"))
-    lists = marked.groupBy("id").agg(F.collect_list(F.when(F.col("whole"), F.col("h"))).alias("runs"), F.collect_list(F.when(~F.col("whole"), F.col("h"))).alias("windows"))
+    windows = stash(known.join(open_runs, "id").select("id", "text", "runs").mapInArrow(open_windows, "h0 long, h1 long, id long"))
+    least = cut(windows.groupBy("h0", "h1").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h0", "h1", "first"))
+    single = windows.join(least, ["h0", "h1"]).where("id > first").select("id", F.lit(False).alias("whole"), F.col("h0").alias("h"))
+    # inside one document 64 bits tell its runs and windows apart
+    lists = covered.union(single).groupBy("id").agg(F.collect_list(F.when(F.col("whole"), F.col("h"))).alias("runs"), F.collect_list(F.when(~F.col("whole"), F.col("h"))).alias("windows"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
@@ -141,12 +190,12 @@ def deduplicate_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: st
             for rows, words in _blocks(list(zip(*cols, strict=True)), lambda r: r[1]):
                 touched = [k for k, x in enumerate(rows) if x[2] or x[3]]
                 r = Runs([words[k] for k in touched], window)
-                code = r.codes().view(np.int64)
+                code = r.code[0].view(np.int64)
                 edge = np.searchsorted(r.text, np.arange(len(touched) + 1))
                 removed = [0] * len(rows)
                 for j, k in enumerate(touched):
                     part = slice(edge[j], edge[j + 1])
-                    hit = np.isin(code[r.run[part]], np.array(rows[k][2], np.int64)) | np.isin(r.hash[part].view(np.int64), np.array(rows[k][3], np.int64))
+                    hit = np.isin(code[r.run[part]], np.array(rows[k][2], np.int64)) | np.isin(r.hash[0, part].view(np.int64), np.array(rows[k][3], np.int64))
                     cover = np.zeros(len(words[k]) + 1, np.int64)
                     at = r.start[part][hit] - r.first[j]
                     np.add.at(cover, at, 1)
