@@ -4,11 +4,12 @@ A fingerprint is cut into short segments and embedded as the vector of their bit
 Manhattan distance of two such vectors never exceeds the Hamming distance of the fingerprints, so a
 range join in the embedded grid loses no link. The grid join runs on equality: the coordinates are
 dealt into groups, and two vectors within distance r agree exactly on all but r of the groups, so each
-choice of the other groups is a key. Fingerprints that share a key are compared bit by bit.
+choice of the other groups is a key. Of fingerprints that share a key the Manhattan distance is taken, and those
+within it are compared bit by bit.
 
 Exact copies collapse to one fingerprint before the join. Inside a bucket only a spanning set of links
 goes out, never all pairs; buckets are compared in streaming order, a hot one by breadth-first search
-over the fingerprints not reached yet. The stage on word shingles finds candidates by prefixes of the globally
+over the fingerprints not reached yet. The stage on word shingles finds candidates by prefixes of the
 ordered sets, which loses no similar pair, bounds the overlap of two sets by positions and bitmaps inside the buckets,
 and compares the sets of what is left; fingerprints only say which candidates come first.
 """
@@ -21,12 +22,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import columns, fresh, mix, some, texts
 from graphloom.plans.components import connected_components
-from graphloom.session import cut, prepare, release, stash
+from graphloom.session import cut, prepare, release, spread_join, stash
 
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 17
@@ -136,6 +137,14 @@ def radius_keys(fps: np.ndarray, radius: int, segment: int = 2) -> Iterator[np.n
         yield key
 
 
+def counted(fps: np.ndarray) -> np.ndarray:
+    """The bit counts of two-bit segments, each as so many ones: the Hamming distance of two such numbers is the
+    Manhattan distance of the counts."""
+    odd = np.uint64(0x5555555555555555)
+    low, high = fps & odd, (fps >> np.uint64(1)) & odd
+    return low | high | (low & high) << np.uint64(1)
+
+
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
@@ -234,7 +243,15 @@ def links(reps: DataFrame, words: int, radius: int, keys) -> DataFrame:
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
         fps = _words(rows, words)
-        a, b = bucket_links(rows[:, 0], lambda a, b: _near(fps[a], fps[b]) <= radius)
+        counts = counted(fps)
+
+        def linked(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+            hit = _near(counts[a], counts[b]) <= radius
+            at = np.flatnonzero(hit)
+            hit[at] = _near(fps[a[at]], fps[b] if np.ndim(b) == 0 else fps[b[at]]) <= radius
+            return hit
+
+        a, b = bucket_links(rows[:, 0], linked)
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
 
     return sweep(reps.select("node", *(f"f{k}" for k in range(words))), words, keys, work, "src long, dst long")
@@ -263,24 +280,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return groups(fps, radius).select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of the first 128 that a pair at similarity 0.8 differs in, 19.4 on average, plus three deviations; it cuts nothing.
-WIDE_RADIUS = 32
 #: 64-bit numbers of the fingerprint by which candidates are ordered.
 LONG = 8
 #: 64-bit numbers of the bitmap of a shingle set.
 BITMAP = 16
-#: Texts whose shingles are counted for the global order, at about; shingles in fewer of them than COMMON count as rare.
-COUNTED, COMMON, MOST_COMMON = 4000, 4, 100_000
-#: Shingles that the prefixes of two similar sets share at least; all of them, where sets have fewer in common.
-SHARED = 8
+#: Shingles that the prefixes of two similar sets share at least: this many, or this part of the set if that is more.
+SHARED, PART = 8, 10
 #: Four fifths, the least similarity of near duplicates.
 SIMILARITY = (4, 5)
 #: Nearest candidates that a fingerprint proposes from each bucket in the first round after the stars.
-NEAREST = 8
-#: Pairs that one copy of a shingle set serves.
-SERVED = 1000
-#: Columns of a candidate: size of its shingle set, long fingerprint, bitmap.
-SKETCH = ["size", *(f"f{k}" for k in range(LONG)), *(f"b{k}" for k in range(BITMAP))]
+NEAREST = 64
+#: Pairs that one copy of a shingle set serves, and rows of a bucket that are starred together.
+SERVED, STARRED = 1000, 4096
+#: Columns of a candidate: long fingerprint; size of its shingle set and bitmap.
+PRINT = [f"f{k}" for k in range(LONG)]
+SKETCH = ["size", *(f"b{k}" for k in range(BITMAP))]
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -291,50 +305,38 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles, SKETCH) of (id, text) rows: distinct shingle hashes and what stands for them in buckets."""
+    """(node, shingles, PRINT, SKETCH) of (id, text) rows: distinct shingle hashes and what stands for them in buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
             held = [shingle_set(words_of(t), shingle) for t in texts(b)]
             at = np.cumsum([0, *map(len, held)], dtype=np.int32)
-            drawn = np.array([[len(h), *majority([h], LONG), *bitmap(h).tolist()] for h in held], np.uint64).view(np.int64)
+            drawn = np.array([[*majority([h], LONG), len(h), *bitmap(h).tolist()] for h in held], np.uint64).view(np.int64)
             sets = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(held).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), sets, *(pa.array(np.ascontiguousarray(c)) for c in drawn.T)], ["node", "shingles", *SKETCH])
+            yield pa.RecordBatch.from_arrays([b.column(0), sets, *(pa.array(np.ascontiguousarray(c)) for c in drawn.T)], ["node", "shingles", *PRINT, *SKETCH])
 
-    return docs.mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{n} long" for n in SKETCH))
+    return docs.mapInArrow(run, "node long, shingles array<long>, " + ", ".join(f"{n} long" for n in [*PRINT, *SKETCH]))
 
 
-def common_shingles(docs: DataFrame, share: float, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in a sample of the texts, in ascending order, and their counts: an order, not a choice."""
+def least_overlap(size: int, similarity: tuple[int, int] = SIMILARITY) -> int:
+    """Shingles that a set of this size shares with any similar one, at least; that one's size, at least."""
+    up, down = similarity
+    return -(-size * up // down)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in some(batches):
-            held = [shingle_set(words_of(t), shingle) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["h"])
 
-    drawn = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    counted = drawn.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    rows = sorted((r.h % (1 << 64), r.n) for r in counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect())
-    return np.array([h for h, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+def shared(size: int, similarity: tuple[int, int] = SIMILARITY) -> int:
+    """How many first common shingles the prefix of a set of this size has."""
+    return min(max(SHARED, size // PART), least_overlap(size, similarity))
 
 
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set in the global order (rare ones first, then by a mix), so many that of two
-    similar sets each one's prefix has the first SHARED shingles of both, or all if there are fewer."""
-    if not len(hashes):
-        return hashes
-    up, down = similarity
-    names, counts = common
-    many = np.zeros(len(hashes), np.int64)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-        many = np.where(names[at] == hashes, counts[at], 0)
-    order = np.lexsort((mix(hashes), many))
-    least = -(-len(hashes) * up // down)
-    return hashes[order[: len(hashes) - least + min(SHARED, least)]]
+def prefix(hashes: np.ndarray, similarity: tuple[int, int] = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set in the order of a mix, so many that they have the first shared(size) ones of those
+    that it has in common with any similar set."""
+    n = len(hashes)
+    return hashes[np.argsort(mix(hashes))[: n - least_overlap(n, similarity) + shared(n, similarity)]]
 
 
-def prefixes(docs: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(docs: DataFrame, shingle: int) -> DataFrame:
     """(key, node, at) of (id, text) rows: each shingle of the prefix; at is its place and, 32 bits up, the set's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +345,7 @@ def prefixes(docs: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray
             keys, nodes, at, n = [], [], [], 0
             for node, text in zip(ids.tolist(), texts(b), strict=True):
                 held = shingle_set(words_of(text), shingle)
-                first = prefix(held, common)
+                first = prefix(held)
                 keys.append(first)
                 nodes.append(np.full(len(first), node, np.int64))
                 at.append((len(held) << 32) + np.arange(len(first), dtype=np.int64))
@@ -360,18 +362,13 @@ def prefixes(docs: DataFrame, shingle: int, common: tuple[np.ndarray, np.ndarray
     return docs.mapInArrow(run, "key long, node long, at long")
 
 
-def _placed(at: np.ndarray, similarity: tuple[int, int], first: bool = True) -> Callable:
-    """Which rows of a bucket can have the similarity; if ``first``, when its shingle is the first that both sets have.
-
-    Any similar pair has a bucket of its first shingle; what comes after the shingle bounds the overlap there. In the
-    pair's other buckets what comes before it counts, too.
-    """
+def _placed(at: np.ndarray, similarity: tuple[int, int]) -> Callable:
+    """Which rows of a bucket can have the similarity, by the places of its shingle in both sets: what comes before and
+    after it bounds the overlap."""
     before, size = at & 0xFFFFFFFF, at >> 32
     after = size - before
     up, down = similarity
-    if not first:
-        return lambda a, b: (np.minimum(after[a], after[b]) + np.minimum(before[a], before[b])) * (up + down) >= (size[a] + size[b]) * up
-    return lambda a, b: np.minimum(after[a], after[b]) * (up + down) >= (size[a] + size[b]) * up
+    return lambda a, b: (np.minimum(after[a], after[b]) + np.minimum(before[a], before[b])) * (up + down) >= (size[a] + size[b]) * up
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -390,29 +387,30 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int] = SIM
     return both.where(near).where(same * (up + down) >= size * up).select("src", "dst")
 
 
-def _with_candidate(dealt: DataFrame) -> DataFrame:
-    """The rows of prefixes that have a candidate in their bucket, of nodes with as many such rows as similar sets share."""
-
-    def work(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(rows[:, 0], _placed(rows[:, 2], SIMILARITY, first=False))
-        kept = rows[np.unique(np.concatenate([a, b]))]
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in kept.T], ["key", "node", "at"])
+def rare_common(rows: DataFrame) -> DataFrame:
+    """The rows of prefixes by which two similar sets meet: of each node's shingles that others have too, the rarest.
 
+    Two similar sets have shared(size) common shingles in their prefixes, with the size of the smaller one. A
+    node with fewer repeated shingles than that has no partner. Of others the most frequent ones can be left out, as
+    many as that less one: the rarest common shingle of a pair is then still among both nodes' rows.
+    """
     up, down = SIMILARITY
-    found = cut(buckets(dealt, work, "key long, node long, at long"))
-    size = F.shiftright("at", 32)
-    least = F.least(F.lit(SHARED), F.ceil(size * up / down))
-    enough = found.groupBy("node", size.alias("size")).agg((F.count_distinct("key") >= F.first(least)).alias("enough")).where("enough")
-    return found.join(enough.select("node").distinct(), "node", "left_semi").select("key", "node", "at")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    of = lambda size: F.expr(f"({size} * {up} + {down - 1}) div {down}")  # noqa: E731  least_overlap
+    need = F.least(F.greatest(F.lit(SHARED), F.expr(f"least div {PART}")), of("least"))
+    found = spread_join(rows, counts, ["key"]).withColumn("least", of("shiftright(at, 32)"))  # the smallest partner's size
+    found = found.withColumn("repeated", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "key")))
+    return found.where(F.col("place") <= F.col("repeated") - need + 1).select("key", "node", "at")
 
 
-def _candidates(rows: np.ndarray, radius: int, similarity: tuple[int, int]) -> tuple[np.ndarray, Callable]:
-    """The long fingerprints of sketched rows, and which of them can have the similarity.
+def _candidates(rows: np.ndarray, similarity: tuple[int, int]) -> Callable:
+    """Which of the sketched rows can have the similarity.
 
     Each bit that one bitmap alone has stands for a shingle that the other set lacks, so what the bitmaps leave
-    of the sizes is an upper bound of the overlap: no similar pair is lost by it. The radius cuts nothing.
+    of the sizes is an upper bound of the overlap: no similar pair is lost by it.
     """
-    f, bits, size = _words(rows, LONG + BITMAP)[:, :LONG], _words(rows, BITMAP), rows[:, -len(SKETCH)]
+    bits, size = _words(rows, BITMAP), rows[:, -len(SKETCH)]
     up, down = similarity
     ones = np.bitwise_count(bits).sum(axis=-1, dtype=np.int64)
 
@@ -421,13 +419,12 @@ def _candidates(rows: np.ndarray, radius: int, similarity: tuple[int, int]) -> t
         most = np.minimum(size[a] - ones[a], size[b] - ones[b]) + common
         return most * (up + down) >= (size[a] + size[b]) * up
 
-    return f, linked
+    return linked
 
 
-def _both(rows: np.ndarray, radius: int) -> tuple[np.ndarray, Callable]:
+def _both(rows: np.ndarray) -> Callable:
     """_candidates and _placed at once, of rows whose third column is at."""
-    f, linked = _candidates(rows, radius, SIMILARITY)
-    placed = _placed(rows[:, 2], SIMILARITY)
+    linked, placed = _candidates(rows, SIMILARITY), _placed(rows[:, 2], SIMILARITY)
 
     def both(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
         hit = placed(a, b)
@@ -436,34 +433,42 @@ def _both(rows: np.ndarray, radius: int) -> tuple[np.ndarray, Callable]:
             hit[at] = linked(a[at], b if np.ndim(b) == 0 else b[at])
         return hit
 
-    return f, both
+    return both
+
 
+def _stars(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs, few for each row and bucket, that connect the candidates of a bucket.
 
-def _stars(live: DataFrame, radius: int) -> DataFrame:
-    """Candidate pairs, few for each row and bucket, that connect all candidates of a bucket."""
+    A bucket of more than about STARRED rows is divided, and each part gets the bucket's first node as well.
+    """
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
-        a, b = bucket_links(rows[:, 0], _both(rows, radius)[1])
+        a, b = bucket_links(rows[:, 0], _both(rows))
         return pa.RecordBatch.from_arrays([pa.array(rows[a, 1]), pa.array(rows[b, 1])], ["src", "dst"])
 
-    found = buckets(live.select("key", "node", "at", *SKETCH), work, "src long, dst long")
+    counts = dealt.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / STARRED).alias("parts"), F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1").drop("n")
+    rows = spread_join(dealt, counts, ["key"])
+    part = F.when(F.col("node") == F.col("hub"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts"))))
+    rows = rows.select("key", "node", "at", "parts", F.explode(part).alias("part"))
+    rows = rows.select(F.when(F.col("parts") > 1, F.xxhash64("key", "part")).otherwise(F.col("key")).alias("key"), "node", "at")
+    live = rows.join(sets.select("node", *SKETCH), "node").select("key", "node", "at", *SKETCH)
+    found = buckets(live, work, "src long, dst long")
     return found.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
-def _across(live: DataFrame, radius: int, nearest: int) -> DataFrame:
+def _across(dealt: DataFrame, sets: DataFrame, labels: DataFrame, nearest: int) -> DataFrame:
     """(src, dst, more): candidate pairs of different labels, the ``nearest`` of each row and bucket.
 
     Of two rows of different labels one at least isn't of the bucket's most frequent label, so only such rows
-    propose. ``more`` tells that some row had further candidates.
+    propose, and only buckets of several labels are looked at. ``more`` tells that some row had further candidates.
     """
 
     def work(rows: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.r_[True, rows[1:, 0] != rows[:-1, 0], True])
         label, node = rows[:, 3], rows[:, 1]
-        f, linked = _both(rows, radius)
-        mixed = np.logical_or.reduceat(label != np.repeat(label[edge[:-1]], np.diff(edge)), edge[:-1])
+        f, linked = _words(rows, LONG + len(SKETCH))[:, :LONG], _both(rows)
         src, dst, more = [], [], []
-        for k in np.flatnonzero(mixed):
+        for k in range(len(edge) - 1):
             part = np.arange(edge[k], edge[k + 1])
             names, count = np.unique(label[part], return_counts=True)
             for x in part[label[part] != names[np.argmax(count)]].tolist():
@@ -477,71 +482,77 @@ def _across(live: DataFrame, radius: int, nearest: int) -> DataFrame:
                 more += [full] * len(at)
         return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(more, pa.bool_())], ["src", "dst", "more"])
 
-    found = buckets(live.select("key", "node", "at", "label", *SKETCH), work, "src long, dst long, more boolean")
+    named = dealt.join(labels, "node").select("key", "node", "at", "label")
+    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+    live = spread_join(named, mixed, ["key"]).join(sets.select("node", *PRINT, *SKETCH), "node").select("key", "node", "at", "label", *PRINT, *SKETCH)
+    found = buckets(live, work, "src long, dst long, more boolean")
     return found.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("more").alias("more"))
 
 
-def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int, radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """(node, label) of the nodes similar to another: components of the candidate pairs that hold exactly.
 
-    ``docs``: id, text; ``reps``: node (the id of a row in docs). Nodes that share a shingle of their prefixes, at
-    places and with sizes that allow the similarity, get a sketch. First each bucket proposes stars, which connect all its candidates; where all of them hold, a group is
-    done. In the others, rounds propose what is still of different labels, the nearest first, until no row had
-    to leave one out: a pair of candidates is then either in one component or found to be dissimilar.
+    ``docs``: id, text; ``reps``: node (the id of a row in docs). Nodes that share a rare shingle of their prefixes, at
+    places and with sizes that allow the similarity, get a sketch. First each bucket proposes stars, which connect its
+    candidates; where all of them hold, a group is done. In the others, rounds propose what is still of different
+    labels, the nearest first, until no row had to leave one out: a pair of candidates is then either in one component
+    or found to be dissimilar.
     """
+    spark = docs.sparkSession
 
-    def named(pairs: DataFrame, name: str) -> DataFrame:
-        return connected_components(pairs).select(F.col("id").alias("node"), F.col("component").alias(name))
+    def named(pairs: DataFrame) -> DataFrame:
+        return connected_components(pairs).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
     own = docs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
-    common = common_shingles(own, min(1.0, COUNTED / max(1, reps.count())), shingle)
-    dealt = cut(_with_candidate(prefixes(own, shingle, common)))
-    release(docs.sparkSession)
+    dealt = cut(rare_common(prefixes(own, shingle)))
+    release(spark)
     near = stash(dealt.select(F.col("node").alias("id")).distinct())
     sets = stash(shingle_sets(docs.join(near, "id", "left_semi").select("id", "text"), shingle))
-    live = dealt.join(sets.select("node", *SKETCH), "node")
-    release(docs.sparkSession)
-    tested = cut(_stars(live, radius))
-    release(docs.sparkSession)
+    release(spark)
+    tested = cut(_stars(dealt, sets))
+    release(spark)
     true, nearest = cut(similar(tested, sets)), NEAREST
-    label = named(true, "label")
-    if tested.join(true, ["src", "dst"], "left_anti").isEmpty():
+    label = named(true)
+    # a bucket in parts is connected by its first node only, so it may still hold pairs of different groups
+    divided = not dealt.groupBy("key").count().where(F.col("count") > STARRED).isEmpty()
+    if not divided and tested.join(true, ["src", "dst"], "left_anti").isEmpty():
         return label
-    loose = cut(named(tested, "loose"))
+    nodes = cut(dealt.select("node").distinct())
     while True:
-        labels = cut(loose.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        apart = labels.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("loose")
-        pairs = cut(_across(live.join(labels.join(apart, "loose", "left_semi"), "node"), radius, nearest))
-        release(docs.sparkSession)
+        labels = cut(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+        pairs = cut(_across(dealt, sets, labels, nearest))
+        release(spark)
         more = pairs.agg(F.max("more")).first()[0]
         new = cut(pairs.select("src", "dst").join(tested, ["src", "dst"], "left_anti"))
         found = cut(similar(new, sets))
-        release(docs.sparkSession)
-        if not more and found.isEmpty():
-            return label
-        true = cut(true.union(found))
-        label = named(true, "label")
+        release(spark)
+        if not found.isEmpty():
+            true = cut(true.union(found))
+            label = named(true)
         if not more:
             return label
         tested, nearest = cut(tested.union(new)), nearest * 16
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` less all but one (the smallest id) of each group of near duplicates.
 
     Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which is
-    decided by the sets themselves. Candidates share a shingle of the prefixes of their sets in a global order, which
-    every similar pair does. SimHash fingerprints order the search; ``radius`` cuts nothing. Texts of the same words are one node. Null and wordless
-    texts are one group. Rows with a null id stay. Rows that share an id are one document, and one stays.
+    decided by the sets themselves. Candidates share a shingle of the prefixes of their sets, which every similar
+    pair does. SimHash fingerprints order the search and cut nothing. Texts of the same words are one node. Null and
+    wordless texts are one group. Rows with a null id stay. Rows that share an id are one document, and one of them
+    stays: the first by a hash of its text. Other columns pass; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     known = columns(docs, id_col, text_col).where("id is not null")
     reps = stash(word_hashes(known).groupBy("d0", "d1").agg(F.min("id").alias("node")).select("node"))
-    later = similar_groups(known, reps, shingle, radius).where("label < node").select("node")
+    later = similar_groups(known, reps, shingle).where("label < node").select("node")
     id_ = fresh("id", docs.columns)
     keep = cut(reps.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(id_)))
     doc = F.col(f"`{id_col}`")
     own = docs.join(keep, doc.cast("long") == F.col(id_), "left_semi")
     if not known.groupBy("id").count().where("count > 1").isEmpty():
-        own = own.dropDuplicates([id_col])
+        place, content = fresh("place", docs.columns), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
+        first = Window.partitionBy(doc).orderBy(F.xxhash64(F.col(f"`{text_col}`").cast("string")), content)
+        own = own.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return own.unionByName(docs.where(doc.isNull()))
