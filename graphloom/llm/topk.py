@@ -1,11 +1,13 @@
 """Exact top-k inner products over norm-sorted, rotated vectors.
 
-Vectors are dealt into norm-sorted lanes. A task takes a block of queries and one lane and goes through the
-lane from the longest vector down, block by block. Both sides are rotated by the same orthogonal matrix (from
-an SVD), which leaves inner products alone and moves most of their mass into the first coordinates. From the
-partial product there, Cauchy-Schwarz bounds what the rest can add; only pairs whose bound reaches the query's
-k-th best score so far are scored, in exact integers. A lane ends for a query where even the product of both
-lengths can't reach it. Tasks give at most k rows for each query; these are ranked at the end.
+Vectors are dealt into lanes by descending length. All queries go through the lane of the longest vectors first; the
+k-th best score there is a query's bar. A query then goes only to the lanes whose longest vector could reach its bar.
+A task takes a block of queries and one lane and goes through it from the longest vector down, step by step. Both
+sides are rotated by the same orthogonal matrix (from an SVD), which leaves inner products alone and moves most of
+their mass into the first coordinates. From the partial product there, Cauchy-Schwarz bounds what the rest can add;
+only pairs whose bound reaches the query's k-th best score so far are scored, in exact integers. A lane ends for a
+query where even the product of both lengths can't reach it. Tasks give at most k rows for each query; these are
+ranked at the end.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from graphloom.llm.common import some
 from graphloom.session import cut, prepare
 
 #: Rows of a lane of candidates and of a block of queries: what one task holds.
-LANE, QUERIES, STEP = 8192, 1024, 1024
+LANE, QUERIES, STEP = 8192, 4096, 1024
 #: Vectors that the rotation is fitted on (any rotation gives exact results), and the share of their mass wanted in the head.
 FIT_VECTORS, HEAD_MASS = 4096, 0.7
 #: Below this product of lengths, float64 sums of integer products are exact.
@@ -64,10 +65,14 @@ def rotation(sample: np.ndarray) -> tuple[np.ndarray, int]:
     return vt.T, min(head, max(1, sample.shape[1] // 2))
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width))
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+def _matrix(rows: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of lists as a matrix, shorter ones filled with zeros."""
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    size = np.asarray(pa.compute.list_value_length(rows), np.int64)
+    flat = np.asarray(rows.flatten())
+    out = np.zeros((len(size), width))
+    row = np.repeat(np.arange(len(size)), size)
+    out[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
 
 
@@ -76,8 +81,14 @@ def _exact(a: np.ndarray, b: np.ndarray) -> list[int]:
     return [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
 
 
-def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, turn: np.ndarray, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, id, score) of each query's k best in c but itself; ties to smaller ids."""
+def _low(scores: np.ndarray, whole: bool) -> np.ndarray:
+    """Scores as doubles that are no higher."""
+    x = scores.astype(np.float64)
+    return x if whole else x - 1e-12 * np.abs(x)
+
+
+def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, turn: np.ndarray, head: int, bar: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, id, score) of each query's k best in c but itself, of those that reach its bar; ties to smaller ids."""
     cn = np.sqrt((c * c).sum(axis=1))
     order = np.lexsort((cid, -cn))
     cid, c, cn = cid[order], c[order], cn[order]
@@ -87,7 +98,7 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
     tq = np.sqrt(np.maximum(0, (rq[:, head:] ** 2).sum(axis=1)))
     tc = np.sqrt(np.maximum(0, (rc[:, head:] ** 2).sum(axis=1)))
     rows, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64 if whole else object)
-    least = np.full(len(q), -np.inf)
+    least = np.full(len(q), -np.inf) if bar is None else bar.copy()
     for at in range(0, len(c), STEP):
         to = slice(at, at + STEP)
         slack = 1e-9 * (qn * cn[at] + 1)
@@ -115,7 +126,8 @@ def search(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: in
         rows, ids, scores = rows[keep], ids[keep], scores[keep]
         last = np.flatnonzero(np.r_[rows[1:] != rows[:-1], True]) if len(rows) else []
         full = [x for x in last if x - np.searchsorted(rows, rows[x]) == k - 1]
-        least[rows[full]] = np.array([float(scores[x]) * (1 if whole else 1 - 1e-12 * np.sign(float(scores[x]))) for x in full])
+        if full:
+            least[rows[full]] = np.maximum(least[rows[full]], _low(scores[full], whole))
     return rows, ids, scores
 
 
@@ -124,39 +136,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     ``vectors`` and ``queries`` as from quantize(). Fewer than k others: all of them. Ties go to the smaller id;
     a vector is no candidate for a query of the same id, also where ids repeat (each repeated candidate row
-    counts once more; repeated query rows are answered once). Vectors of unequal lengths are filled with zeros.
-    Empty tables give no rows. Scores beyond 63 bits aren't representable and fail.
+    counts once more; repeated query rows are answered once, of unlike ones the least vector). Vectors of unequal
+    lengths are filled with zeros. Empty tables give no rows. Scores beyond 63 bits aren't representable and fail.
     """
     spark = vectors.sparkSession
     vectors = cut(vectors)
-    queries = queries.dropDuplicates(["id"])
-    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    schema = "query_id long, vec_id long, score long"
-    if not facts.n or not facts.d:
-        facts = facts.asDict() | {"d": 1}
-        n, width = facts["n"], 1
-    else:
-        n, width = facts.n, facts.d
-    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // FIT_VECTORS))) == 0).select("v").limit(2 * FIT_VECTORS).toPandas()
-    turn, head = rotation(_matrix(drawn["v"], width) if len(drawn) else np.zeros((1, width)))
+    queries = queries.groupBy("id").agg(F.min(F.struct("v", "norm")).alias("m")).select("id", "m.v", "m.norm")
+    facts = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
+    n, width = facts.n, max(1, facts.d)
+    drawn = vectors.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // FIT_VECTORS))) == 0).select("v").limit(2 * FIT_VECTORS).toArrow()
+    turn, head = rotation(_matrix(drawn.column("v"), width) if drawn.num_rows else np.zeros((1, width)))
     shared = spark.sparkContext.broadcast((turn, head))
     lanes = -(-n // LANE) or 1
-    asked = queries.count()
-    blocks = -(-asked // QUERIES) or 1
-    # lanes hold vectors of all lengths alike (dealt by a hash): each starts with long ones and gets a high bar at once
-    left = vectors.select(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(lanes)).cast("int").alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v", F.lit(False).alias("query"))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.pmod(F.xxhash64("id", F.lit(4)), F.lit(blocks)).cast("int").alias("block"), "id", "v", F.lit(True).alias("query"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    blocks = -(-queries.count() // QUERIES) or 1
+    # lane 0 has the longest vectors; equal lengths are dealt over their lanes by a hash
+    order = F.struct((-F.col("norm")).alias("down"), F.xxhash64("id").alias("h"))
+    dealt = cut(vectors.repartitionByRange(lanes, order).withColumn("lane", F.spark_partition_id()))
+    longest = cut(dealt.groupBy("lane").agg(F.max("norm").alias("top")))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(blocks)).cast("int"))
+
+    def run(keys: tuple, table: pa.Table) -> pa.Table:
         turn, head = shared.value
-        q, c = pdf[pdf["query"]], pdf[~pdf["query"]]
-        if not len(q) or not len(c):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        qid = q["id"].to_numpy()
-        rows, ids, scores = search(qid, _matrix(q["v"], width), c["id"].to_numpy(), _matrix(c["v"], width), k, turn, head)
-        return pd.DataFrame({"query_id": qid[rows], "vec_id": ids, "score": np.array([int(s) for s in scores], np.int64)})
-
-    found = left.unionByName(right).groupBy("lane", "block").applyInPandas(run, schema)
+        is_query = table.column("query")
+        q, c = table.filter(is_query), table.filter(pa.compute.invert(is_query))
+        qid, cid = (np.asarray(x.column("id"), np.int64) for x in (q, c))
+        if not len(qid) or not len(cid):
+            rows = ids = scores = np.zeros(0, np.int64)
+        else:
+            rows, ids, scores = search(qid, _matrix(q.column("v"), width), cid, _matrix(c.column("v"), width), k, turn, head, np.asarray(q.column("bar"), np.float64))
+        return pa.table({"query_id": pa.array(qid[rows], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array([int(s) for s in scores], pa.int64())})
+
+    def found(asked: DataFrame) -> DataFrame:
+        """asked: id, v, block, lane, bar."""
+        wanted = asked.select("lane", "block").distinct()
+        left = dealt.join(wanted, "lane").select("lane", "block", "id", "v", F.lit(0.0).alias("bar"), F.lit(False).alias("query"))
+        both = left.unionByName(asked.select("lane", "block", "id", "v", "bar", F.lit(True).alias("query")))
+        return both.groupBy("lane", "block").applyInArrow(run, "query_id long, vec_id long, score long")
+
+    first = longest.agg(F.min("lane")).first()[0] or 0
+    low = F.lit(float("-inf"))
+    best = cut(found(asked.withColumn("lane", F.lit(first)).withColumn("bar", low)))
+    # the k-th best so far, a little lower where doubles aren't exact
+    bars = best.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("s"))
+    bar = F.coalesce(F.col("s") - F.abs("s") * 1e-12, low)
+    later = asked.join(bars, "id", "left").withColumn("bar", bar).join(F.broadcast(longest.where(F.col("lane") > first)), F.col("norm") * F.col("top") * (1 + 1e-9) + 1e-9 >= F.col("bar"))  # a row for each lane
+    everything = best.unionByName(found(later.select("id", "v", "block", "lane", "bar")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = everything.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
