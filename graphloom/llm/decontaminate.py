@@ -1,12 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-For every benchmark item, windows of as many words as the item has are compared with it. The method:
+For every length that benchmark items have, windows of as many words are compared with the items of that length:
 
-1. Positions of a document whose word shingle occurs in an item; a window of similarity 0.8 or more
-   shares at least 0.8 / 1.8 of both windows' shingles with it, so windows with fewer hits are left out
+1. Positions of a document whose word shingle occurs in any item. A window of similarity 0.8 or more shares at least
+   0.8 / 1.8 of both windows' shingles with its item, so windows with fewer such positions are not fingerprinted
    (no loss, and nearly all of a clean corpus ends here).
-2. SimHash of each window left; candidate items from a multi-index: 64 bits in radius + 1 blocks, of
-   which two fingerprints within the radius agree on one at least.
+2. SimHash of each window left, from running bit counts. Candidate items come from a multi-index: 64 bits in radius
+   + 1 blocks, of which two fingerprints within the radius agree on one at least; those within the radius stay.
 3. Exact weighted (multiset) Jaccard similarity of the shingles.
 
 The radius of 24 bits lies five deviations above the 9.7 bits expected at similarity 0.8.
@@ -29,8 +29,10 @@ from graphloom.llm.common import columns, gram_hashes, map_rows, mix, some, text
 from graphloom.session import prepare
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 24
-#: Words of benchmark text sent to the executors at once (about 60 bytes each there).
+#: Words of benchmark text sent to the executors at once (about 120 bytes each there).
 BLOCK_WORDS = 1_000_000
+#: Window starts fingerprinted at once.
+WINDOWS = 1 << 14
 #: Bits of the first, approximate membership table.
 TABLE_BITS = 22
 
@@ -49,98 +51,111 @@ def _fingerprints(ones: np.ndarray, n: int) -> np.ndarray:
     return ((2 * ones > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
+class Shelf:
+    """The items of one shingle length and one length in words, with their multi-index."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.items: list[int] = []
+        self.counts: list[Counter] = []
+        self.fps = np.zeros(0, np.uint64)
+        width = [len(x) for x in np.array_split(np.arange(64), radius + 1)]
+        self.blocks = [(np.uint64(sum(width[:k])), np.uint64((1 << w) - 1)) for k, w in enumerate(width)]
+        self.index: list[dict[int, np.ndarray]] = []
+
+    def close(self) -> None:
+        for at, mask in self.blocks:
+            value = (self.fps >> at) & mask
+            self.index.append({int(v): np.flatnonzero(value == v) for v in np.unique(value)})
+
+    def near(self, fp: np.uint64) -> np.ndarray:
+        """All items whose fingerprint is within the radius."""
+        lists = [x for (at, mask), by in zip(self.blocks, self.index, strict=True) if (x := by.get(int((fp >> at) & mask))) is not None]
+        found = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+        return found[np.bitwise_count(self.fps[found] ^ fp) <= self.radius]
+
+
 class Items:
     """Index of a block of benchmark items."""
 
     def __init__(self, rows: list[tuple[int, bytes]], shingle: int = SHINGLE, radius: int = RADIUS):
-        self.ids, self.words, self.gram, self.counts, fps, pairs = [], [], [], [], [], {}
+        self.shelves: dict[int, dict[int, Shelf]] = {}
+        known: dict[int, list[np.ndarray]] = {}
         for item, text in rows:
             h = word_hashes(text)
             if not len(h):
                 continue
             g = min(shingle, len(h))
             s = gram_hashes(h, g)
-            for x in np.unique(s).tolist():
-                pairs.setdefault(g, {}).setdefault(x, []).append(len(self.ids))
-            self.ids.append(item)
-            self.words.append(len(h))
-            self.gram.append(g)
-            self.counts.append(Counter(s.tolist()))
-            fps.append(_fingerprints(_bits(s).sum(axis=0, dtype=np.int64)[None], len(s))[0])
-        self.radius, self.fps = radius, np.array(fps, np.uint64)
+            shelf = self.shelves.setdefault(g, {}).setdefault(len(h), Shelf(radius))
+            shelf.items.append(item)
+            shelf.counts.append(Counter(s.tolist()))
+            shelf.fps = np.r_[shelf.fps, _fingerprints(_bits(s).sum(axis=0, dtype=np.int64)[None], len(s))]
+            known.setdefault(g, []).append(s)
+        for by in self.shelves.values():
+            for shelf in by.values():
+                shelf.close()
         self.members = {}
-        for g, found in pairs.items():
-            keys = np.array(sorted(found), np.uint64)
+        for g, found in known.items():
+            keys = np.unique(np.concatenate(found))
             table = np.zeros(1 << TABLE_BITS, bool)
             table[(mix(keys) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-            self.members[g] = (keys, [np.array(found[int(k)]) for k in keys], table)
-        width = [len(x) for x in np.array_split(np.arange(64), radius + 1)]
-        self.blocks = [(int(sum(width[:k])), w) for k, w in enumerate(width)]
-        self.index = []
-        for at, w in self.blocks:
-            value = self._block(self.fps, at, w)
-            self.index.append([np.flatnonzero(value == v) for v in range(1 << w)])
-
-    @staticmethod
-    def _block(fps: np.ndarray, at: int, w: int) -> np.ndarray:
-        return ((fps >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64)
+            self.members[g] = keys, table
 
-    def within(self, fp: np.uint64) -> set[int]:
-        """All items whose fingerprint is within the radius."""
-        near: set[int] = set()
-        for (at, w), lists in zip(self.blocks, self.index, strict=True):
-            near.update(lists[int(self._block(fp[None], at, w)[0])].tolist())
-        found = np.fromiter(near, np.int64, len(near))
-        return set(found[np.bitwise_count(self.fps[found] ^ fp) <= self.radius].tolist())
-
-    def hits(self, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, dict[int, list[int]]]]:
-        """For each shingle length: the shingles, and by item the positions that hold one of its shingles."""
-        for g, (keys, owners, table) in self.members.items():
-            s = gram_hashes(h, g)
-            maybe = np.flatnonzero(table[(mix(s) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            k = np.minimum(np.searchsorted(keys, s[maybe]), len(keys) - 1)
-            by: dict[int, list[int]] = {}
-            for p, j in zip(maybe[keys[k] == s[maybe]].tolist(), k[keys[k] == s[maybe]].tolist(), strict=True):
-                for item in owners[j].tolist():
-                    by.setdefault(item, []).append(p)
-            yield g, s, by
+    def hits(self, g: int, s: np.ndarray) -> np.ndarray:
+        """Positions whose shingle some item has."""
+        keys, table = self.members[g]
+        maybe = np.flatnonzero(table[(mix(s) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(keys, s[maybe]), len(keys) - 1)
+        return maybe[keys[k] == s[maybe]]
 
     def find(self, text: bytes | None, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float, int]]:
         """(item id, start word of the best window, windows found, its similarity, its distance)."""
         h, out = word_hashes(text), []
-        for g, s, by in self.hits(h):
-            for item, at in by.items():
-                if self.gram[item] != g:
-                    continue
-                size = min(self.words[item], len(h)) - g + 1  # shingles of a window
-                a = self.words[item] - g + 1
+        for g, shelves in self.shelves.items():
+            s = gram_hashes(h, g)
+            pos = self.hits(g, s)
+            for words, shelf in shelves.items() if len(pos) else ():
+                size = min(words, len(h)) - g + 1  # shingles of a window
+                a = words - g + 1
                 need = similarity * (a + size) / (1 + similarity) - 1e-9
-                pos = np.array(at)
-                if len(pos) < need:
+                if size < 1 or len(pos) < need:
                     continue
-                starts = np.unique((pos[:, None] - np.arange(size)[None]).ravel()) if len(pos) * size < 1 << 20 else np.arange(max(0, pos[0] - size + 1), pos[-1] + 1)
-                starts = starts[(starts >= 0) & (starts + size <= len(s))]
-                inside = np.searchsorted(pos, starts + size) - np.searchsorted(pos, starts)
-                best = None
-                many = 0
-                for start in starts[inside >= need].tolist():
-                    piece = s[start : start + size]
-                    fp = _fingerprints(_bits(piece).sum(axis=0, dtype=np.int64)[None], size)[0]
-                    if item not in self.within(fp):
-                        continue
-                    both = sum((Counter(piece.tolist()) & self.counts[item]).values())
-                    score = both / (a + size - both)
-                    if score >= similarity:
-                        many += 1
-                        if best is None or score > best[1]:
-                            best = start, score, int(np.bitwise_count(fp ^ self.fps[item]))
-                if best:
-                    out.append((self.ids[item], best[0], many, best[1], best[2]))
+                before = np.zeros(len(s) + 1, np.int64)
+                before[pos + 1] = 1
+                before = np.cumsum(before)
+                starts = np.flatnonzero(before[size:] - before[:-size] >= need)
+                best: dict[int, tuple] = {}
+                for start, fp in zip(starts.tolist(), window_fingerprints(s, starts, size), strict=True):
+                    piece = None
+                    for k in shelf.near(fp).tolist():
+                        piece = piece or Counter(s[start : start + size].tolist())
+                        both = sum((piece & shelf.counts[k]).values())
+                        score = both / (a + size - both)
+                        if score >= similarity:
+                            old = best.get(k)
+                            far = int(np.bitwise_count(fp ^ shelf.fps[k]))
+                            best[k] = (start, 1, score, far) if old is None else (start, old[1] + 1, score, far) if score > old[2] else (old[0], old[1] + 1, *old[2:])
+                out += [(shelf.items[k], *found) for k, found in best.items()]
         return out
 
 
+def window_fingerprints(s: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of the windows of ``size`` hashes at the starts, by running bit counts over blocks of positions."""
+    out = np.zeros(len(starts), np.uint64)
+    block = max(WINDOWS, size)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = int(np.searchsorted(starts, first + block))
+        ones = np.zeros((int(starts[to - 1]) - first + size + 1, 64), np.int32)
+        np.cumsum(_bits(s[first : first + len(ones) - 1]), axis=0, out=ones[1:])
+        k = starts[at:to] - first
+        out[at:to] = _fingerprints(ones[k + size] - ones[k], size)
+        at = to
+    return out
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, bytes]]]:
     """The items in blocks of bounded size; they stream through the driver, one block at a time."""
     block, words = [], 0
@@ -180,7 +195,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` in which no window is similar to an item; columns unchanged, no shuffle."""
+    """The rows of ``docs`` in which no window is similar to an item; columns unchanged, no shuffle.
+
+    Null and empty texts and null ids stay; repeated rows are judged alike; an empty benchmark drops nothing.
+    """
     spark = prepare(docs.sparkSession)
     at = docs.columns.index(text_col)
     for block in _blocks(benchmark, item_col, item_text):
