@@ -36,17 +36,6 @@ BLOCK = 1 << 20
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
-def _letters(text: str) -> np.ndarray:
-    """Code points of the lower-cased text with a blank for each run of other characters and at both ends."""
-    x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    keep = np.zeros(len(x) + 2, bool)
-    keep[1:-1] = _is_letter(x)
-    out = np.full(len(x) + 2, 32, np.uint32)
-    out[1:-1][keep[1:-1]] = x[keep[1:-1]]
-    start = np.r_[True, keep[:-1]]
-    return out[keep | start]  # the first of each run of blanks stays
-
-
 _LETTER: dict[int, bool] = {}
 
 
@@ -63,9 +52,7 @@ def _is_letter(x: np.ndarray) -> np.ndarray:
 
 
 def _grams(x: np.ndarray) -> np.ndarray:
-    """Hash of each n-gram that isn't all blank."""
-    if len(x) < GRAM:
-        x = np.r_[x, np.full(GRAM - len(x), 32, np.uint32)]
+    """Hash of each n-gram."""
     h = np.zeros(len(x) - GRAM + 1, np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(0x100000001B3) + x[k : len(x) - GRAM + 1 + k].astype(np.uint64)
@@ -73,11 +60,28 @@ def _grams(x: np.ndarray) -> np.ndarray:
 
 
 def text_grams(text: str) -> Iterator[np.ndarray]:
-    """The n-grams of a text, in blocks; none if it has no letter."""
-    for at in range(0, max(1, len(text)), BLOCK):
-        # blocks overlap by GRAM - 1 characters, so that hardly an n-gram is lost at a cut
-        x = _letters(text[at : at + BLOCK + GRAM - 1])
-        if len(x) > 1:
+    """The n-grams of a text, in blocks; none if it has no letter.
+
+    Of the lower-cased letters, with a blank for each run of other characters and at both ends, and more blanks after
+    them if they are fewer than an n-gram. What a block ends with goes before the next one, so blocks don't show.
+    """
+    text = text.lower()
+    tail, any_letter, given = np.full(1, 32, np.uint32), False, False
+    for at in range(0, len(text), BLOCK):
+        x = np.frombuffer(text[at : at + BLOCK].encode("utf-32-le", "replace"), np.uint32)
+        letter = _is_letter(x)
+        any_letter |= bool(letter.any())
+        x = np.r_[tail[-1:], np.where(letter, x, np.uint32(32))]
+        x = np.r_[tail[:-1], x[np.r_[True, (x[1:] != 32) | (x[:-1] != 32)]]]
+        if len(x) >= GRAM:
+            yield _grams(x)
+            given = True
+        tail = x[-(GRAM - 1) :]
+    if any_letter:
+        x = tail if tail[-1] == 32 else np.r_[tail, np.uint32(32)]
+        if not given:
+            yield _grams(np.r_[x, np.full(max(0, GRAM - len(x)), 32, np.uint32)])
+        elif len(x) >= GRAM:
             yield _grams(x)
 
 
@@ -197,5 +201,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose language is known (not ``und``) with a score of ``least`` or more; columns unchanged."""
+    """The rows whose language is known (not ``und``) with a score of ``least`` or more; columns unchanged.
+
+    Null and empty texts and texts without a letter go; repeated rows and null ids are judged like others; an empty
+    table gives an empty result.
+    """
     return _run(docs, model, text_col, lambda b, out: b.filter(pa.array([a != UNDECIDED and s >= least for a, s in zip(out[0].to_pylist(), out[1].to_pylist(), strict=True)], pa.bool_())), None, None)
