@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import fresh
+from graphloom.session import spread_join
 
 WINDOW = 3
 
@@ -30,10 +31,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     zipped = F.arrays_zip(at("h1").alias("a"), at("h2").alias("b"))
     wins = hashed.select("id", "mark", F.posexplode(zipped).alias("pos", "w")).select("id", "mark", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    # partial aggregation first: a window that a third of all documents have is one row from each task
+    # partial aggregation first: a window that a third of all documents have is one row from each task, and the join
+    # that tells its later occurrences is divided at run time
     first = wins.groupBy("a", "b").agg(F.min(F.struct("id", "mark", "pos")).alias("first"), F.max(F.struct("id", "mark", "pos")).alias("last"))
     first = first.where("first <> last").select("a", "b", "first")
-    later = wins.join(first, ["a", "b"]).where(F.struct("id", "mark", "pos") > F.col("first")).select("id", "mark", "pos").distinct()
+    later = spread_join(wins, first, ["a", "b"]).where(F.struct("id", "mark", "pos") > F.col("first")).select("id", "mark", "pos").distinct()
     order = Window.partitionBy("id", "mark").orderBy("pos")
     step = F.when(F.col("pos") - F.lag("pos").over(order) <= window, 0).otherwise(1)
     islands = later.withColumn("step", step).withColumn("island", F.sum("step").over(order))
@@ -47,7 +49,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Same rows and columns, text changed; ``n_lines`` and ``n_removed`` name counts to add. Null texts
     stay null (0 lines), texts of fewer lines than a window and rows with a null id stay unchanged;
     blank lines count as lines; a text may become empty. Equal windows inside one document: the first
-    stays. Repeated rows (same id and text) are changed alike.
+    stays. Repeated rows (same id and text) are changed alike. Texts of any length are judged whole; an empty
+    table gives an empty result; other columns pass unchanged, whatever their names.
     """
     taken = docs.columns
     id_, mark, spans, lines = (fresh(x, taken) for x in ("id", "mark", "spans", "lines"))
