@@ -92,12 +92,17 @@ def hosts(rules: Iterable[tuple[str, str, str]]) -> list[Host]:
     return [found[k] for k in sorted(found)]
 
 
-def sweep(urls: list[tuple[str, str]], rules: list[Host]) -> list[tuple[str | None, str]]:
-    """Judge urls (host, path): both sides in key order, one pass."""
+def sweep(urls: list[tuple[str, str]], rules: list[Host], begins: list[str]) -> list[tuple[str | None, str]]:
+    """Judge urls (host, path): both sides in key order, one pass from the first url's key on.
+
+    ``begins``: the keys of the rules. Intervals that are open at the first key have a prefix of it for a key.
+    """
     keys = [key_of(h) for h, _ in urls]
     out: list[tuple[str | None, str]] = [(None, ALLOW)] * len(urls)
-    stack: list[Host] = []
-    at = 0
+    first = min(keys, default="")
+    at = bisect.bisect_left(begins, first)
+    parts = (bisect.bisect_left(begins, first[:end]) for end in range(len(first)))
+    stack = [rules[k] for end, k in enumerate(parts) if k < at and begins[k] == first[:end]]
     for i in sorted(range(len(urls)), key=keys.__getitem__):
         key = keys[i]
         while at < len(rules) and rules[at].key <= key:
@@ -111,13 +116,14 @@ def sweep(urls: list[tuple[str, str]], rules: list[Host]) -> list[tuple[str | No
 
 def _broadcast(named: DataFrame, rules: list[tuple[str, str, str]], host: str, path: str, rule: str, verdict: str) -> DataFrame:
     """Few rules: every batch of urls is sorted and swept where it is; nothing is shuffled."""
-    shared = named.sparkSession.sparkContext.broadcast(hosts(rules))
+    found = hosts(rules)
+    shared = named.sparkSession.sparkContext.broadcast((found, [h.key for h in found]))
     at = [named.columns.index(c) for c in (host, path)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
             pairs = list(zip(*(b.column(k).to_pylist() for k in at), strict=True))
-            found = sweep(pairs, shared.value)
+            found = sweep(pairs, *shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], [*b.schema.names, rule, verdict])
 
     return map_rows(named, run, [T.StructField(rule, T.StringType()), T.StructField(verdict, T.StringType())])
@@ -188,7 +194,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", limit:
     the url's path starts with the rule's; the longest (host and path together) wins, of equals the one with
     the longer host, of one rule with both verdicts the block. No rule: null and ``allow``. A null url or
     one without ``://`` has an empty host and path. Rules without a host or verdict are left out, a null path
-    is empty. Added columns that clash with the input's get a trailing underscore; repeated rows pass.
+    is empty. Added columns that clash with the input's get a trailing underscore; repeated rows pass. Urls of any
+    length are judged whole. An empty table gives an empty result; without rules every url is allowed.
     """
     spark = prepare(pages.sparkSession)
     taken = pages.columns
