@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, common, counts, decontaminate, langid, lines, pieces, simhash, substring, tokens, topk, urls
 from tests.llm.texts import SCHEMA, frame, rows
@@ -80,6 +81,33 @@ def test_language_masks_hold_every_learned_gram_of_over_64_languages():
         assert ((model.table[k // 64, one] & model.table[k // 64, two]) >> np.uint64(k % 64) & np.uint64(1)).all()
 
 
+def test_language_grams_and_counts_by_hand(monkeypatch):
+    import random
+
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        x = " " + " ".join(words) + " " if words else ""
+        return Counter(x.ljust(4)[i : i + 4] for i in range(max(1, len(x) - 3))) if words else Counter()
+
+    rnd = random.Random(5)
+    odd = ["", "a", "ab", "...", " 1 a", "İstanbul ΟΔΟΣ Σ", "x" * 50, "a..b,,c  d"] + ["".join(rnd.choice("abcÉñ日 .,1\n") for _ in range(rnd.randrange(80))) for _ in range(300)]
+    held = {"p": grams(" ".join(odd[:100])), "q": grams(" ".join(odd[100:200]))}
+    code = lambda g: langid._grams(np.array([ord(c) for c in g], np.uint32))[0]
+    model = langid.Model.fit({k: np.array([code(g) for g in v], np.uint64) for k, v in held.items()})
+    whole = {t: np.sort(np.concatenate([np.zeros(0, np.uint64), *langid.text_grams(t)])).tolist() for t in odd}
+    for block in (1 << 20, 7, 1):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for t in odd:
+            assert np.sort(np.concatenate([np.zeros(0, np.uint64), *langid.text_grams(t)])).tolist() == whole[t], (t, block)
+    for t in odd:
+        want = grams(t)
+        assert whole[t] == sorted(int(code(g)) for g in want.elements()), t
+        n, hits = model.counts(t)
+        assert n == sum(want.values())
+        by_set = [sum(c for g, c in want.items() if g in held[k]) for k in ("p", "q")]
+        assert all(a <= b <= a + 0.1 * n for a, b in zip(by_set, hits.tolist(), strict=True))
+
+
 def test_language_id_held_out_accuracy(spark):
     from graphloom.llm.registry import op1_language_id
 
@@ -93,7 +121,7 @@ def test_language_id_held_out_accuracy(spark):
 # --- 2
 
 
-@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 3, 3, 700, 100000], list(range(0, 90000, 7))])
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [0, 1, 3, 3, 700, 100000], list(range(0, 90000, 7)), [0] * 700 + [10**12] * 700 + [10**13]])
 def test_elias_fano_round_trip(values):
     import io
 
@@ -102,19 +130,27 @@ def test_elias_fano_round_trip(values):
     size = f.tell()
     f.seek(0)
     e = tokens.EliasFano.load(f)
-    assert e.values().tolist() == values
+    assert e.part(0, e.n).tolist() == values
     assert [e.select(i) for i in range(0, len(values), 13)] == values[::13]
+    for i in range(0, len(values) + 1, 1 + len(values) // 9):
+        for j in range(i, len(values) + 1, 1 + len(values) // 7):
+            assert e.part(i, j).tolist() == values[i:j]
     assert size < 60 + len(values) * 8 if values else True
 
 
-def test_shards_hold_what_the_library_gives(spark, tmp_path):
+def shard_rows():
+    odd = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|> ", "it's\ttab \x1c \x85 é\xa0 x", "a  b   c \n\n d ", " lead", "tail \n", "日本語 テキスト 😀", "<|endoftext", "w " * 90_000]
+    return rows() + [(2000 + i, t, "en", "s", 1, "x", 1, None) for i, t in enumerate(odd)]
+
+
+def test_shards_hold_what_the_library_gives(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    data = rows()
+    data = shard_rows()
     ids = [(r[0], [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]) for r in data]
-    out = tokens.encode_to_shards(frame(spark), P.path("byte_bpe_50k.json"), folder=f"file://{tmp_path}/s").collect()
+    assert any(50256 in x for _, x in ids)
+    out = tokens.encode_to_shards(frame(spark, data), P.path("byte_bpe_50k.json"), folder=f"file://{tmp_path}/s").collect()
     want = Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids)
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in out) == want
     out.sort(key=lambda r: r.start)
@@ -123,9 +159,46 @@ def test_shards_hold_what_the_library_gives(spark, tmp_path):
     for r in out:
         assert r.start == at
         at += r.n_tokens
+    again = tokens.read_documents(spark, f"file://{tmp_path}/s", ids=True).collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in again) == Counter((i, tuple(x)) for i, x in ids)
     assert tokens.encode_to_shards(frame(spark, []), P.path("byte_bpe_50k.json"), folder=f"file://{tmp_path}/e").count() == 0
 
 
+def test_small_read_blocks_and_single_shards_read_the_same(spark, tmp_path):
+    import io
+
+    rnd = np.random.default_rng(9)
+    sizes = rnd.integers(1, 50, 1000)
+    ids = np.sort(rnd.integers(-(10**9), 10**9, 990))
+    f = io.BytesIO()
+    tokens.dump_bounds(f, np.cumsum(sizes), ids, 10, 2)
+    f.seek(0)
+    b = tokens.Bounds(f)
+    at, seen, edges = 0, [], [0]
+    while at < len(b):
+        to = b.until(at, 300)
+        edge = b.edges(at, to)
+        assert edge[0] == edges[-1] and (to == at + 1 or edge[-1] - edge[0] <= 300)
+        edges += edge[1:].tolist()
+        seen += b.documents(at, to)
+        at = to
+    assert seen == [None] * 10 + ids.tolist() and edges == [0, *np.cumsum(sizes).tolist()]
+
+
+def test_encoders_cut_texts_only_where_that_is_safe():
+    from tokenizers import Tokenizer
+
+    rnd = __import__("random").Random(4)
+    odd = ["".join(rnd.choice("ab \n\t's1.,!é\xa0\x1c日X") for _ in range(rnd.randrange(60))) for _ in range(1500)]
+    odd += ["it's' dog's. we'll!! x1, 'll' a'.b,c;; d''s", "word word, word,, word. Word! word'"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, e = Tokenizer.from_file(P.path(name)), tokens.Encoder(P.path(name))
+        e.pieces.spaced.remembered = 50
+        assert e.pieces.whole == (name[:4] == "word")
+        for text, got in zip(odd, e.run(odd), strict=True):
+            assert np.frombuffer(got, e.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 # --- 3
 
 
@@ -149,6 +222,16 @@ def test_url_rules_both_ways(spark, limit):
     assert urls.filter_urls(data.limit(0), rule_df, limit=limit, ranges=4).count() == 0
 
 
+def test_sweeps_may_start_anywhere():
+    rules = [("block", h, "/") for h in ("net", "a.net", "b.a.net", "c.net", "zz.org", "org")]
+    found = urls.hosts(rules)
+    asked = [(h, "/x") for h in ("x.b.a.net", "b.a.net", "c.net", "cc.net", "org", "q.zz.org", "com")]
+    want = [judged(f"http://{h}{p}", rules)[2:] for h, p in asked]
+    assert urls.sweep(asked, found, [h.key for h in found]) == want
+    assert [urls.sweep([x], found, [h.key for h in found])[0] for x in asked] == want
+    assert urls.sweep([], found, [h.key for h in found]) == [] and urls.sweep(asked, [], []) == [(None, "allow")] * len(asked)
+
+
 # --- 4
 
 
@@ -171,13 +254,40 @@ def without_repeats(data, window):
     return out
 
 
-@pytest.mark.parametrize("window", [50, 7, 2, 1])
+@pytest.mark.parametrize("window", [50, 21, 16, 7, 2, 1])
 def test_substring_dedup(spark, window):
     data = [r[:2] for r in rows()] + [(11, "x " * 80), (2, "x " * 60 + "y"), (12, " ".join(f"w{i % 9}" for i in range(300))), (1, " ".join(f"w{i % 9}" for i in range(3, 200)))]
     df = frame(spark, [(*r, "en", "s", 1, "x", 1, None) for r in data])
     assert table(substring.deduplicate_substrings(df, window=window)) == without_repeats(data, window)
 
 
+def test_levels_halve_and_anchors_are_the_leftmost_least():
+    assert [substring.levels(n) for n in (50, 32, 16, 15, 7, 1)] == [[13, 25, 50], [8, 16, 32], [8, 16], [8, 15], [7], [1]]
+    x = np.random.default_rng(1).integers(0, 9, 400)
+    for n in (1, 2, 5, 38):
+        assert substring.leftmost_least(x, n).tolist() == [i + int(np.argmin(x[i : i + n])) for i in range(len(x) - n + 1)]
+
+
+def test_substring_dedup_of_common_and_long_passages(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(substring, "BLOCK", 1000)  # many blocks, and texts longer than one
+    rnd = random.Random(12)
+    passage = [f"p{rnd.randrange(10**6)}" for _ in range(120)]
+    data = [(2, "la " * 3000)]
+    for i in range(300):
+        w = [f"u{rnd.randrange(10**6)}" for _ in range(rnd.randrange(0, 90))]
+        if i % 3 == 0:  # a third of all documents hold one passage, whole or in part
+            a = rnd.choice([0, 0, 0, 3, 50, 69])
+            w[len(w) // 2 : len(w) // 2] = passage[a : rnd.choice([120, 120, 110, 100])]
+        data.append((i, " ".join(w)))
+    long = [f"l{rnd.randrange(50)}" for _ in range(6000)]
+    data += [(400, " ".join(long)), (401, " ".join(long[1000:4000])), (402, "la " * 70), (None, " ".join(passage))]
+    df = frame(spark, [(*r, "en", "s", 1, "x", 1, None) for r in data])
+    got = table(substring.deduplicate_substrings(df))
+    assert got == without_repeats(data, 50) and sum(k[2] > 0 for k in got) > 80
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring.deduplicate_substrings(frame(spark, [])).count() == 0
 
@@ -204,6 +314,10 @@ def test_top_k(spark, scale, monkeypatch):
         want |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(best)}
     assert got == want
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+    unlike = v.where("id = 40").union(v.where("id = 41").withColumn("id", F.lit(40).cast("long")))
+    least = min((40, 41), key=lambda i: [float(y) for y in ints[i]])
+    got = [(r.vec_id, r.score) for r in topk.top_k(v, unlike, 3).orderBy("rank").collect()]
+    assert got == [(c, -s) for s, c in sorted((-sum(a * b for a, b in zip(ints[least], ints[c], strict=False)), c) for c in ints if c != 40)[:3]]
     assert topk.top_k(v.limit(5), v.limit(1), 20).count() == 4
 
 
@@ -336,9 +450,8 @@ def test_bitmaps_lose_no_similar_pair():
         whole = rnd.integers(0, 2**63, size).astype(np.uint64)
         for lost in (0, size // 10, size // 5, size // 3):
             held += [np.unique(whole[lost:]), np.unique(np.r_[whole[lost:], rnd.integers(0, 2**63, lost).astype(np.uint64)])]
-    same = np.array([0] * simhash.LONG, np.uint64)
-    sketch = np.array([[len(h), *same, *simhash.bitmap(h)] for h in held], np.uint64).view(np.int64)
-    _, linked = simhash._candidates(sketch, simhash.WIDE_RADIUS, simhash.SIMILARITY)
+    sketch = np.array([[len(h), *simhash.bitmap(h)] for h in held], np.uint64).view(np.int64)
+    linked = simhash._candidates(sketch, simhash.SIMILARITY)
     kept = lost = 0
     for x in range(len(held)):
         hit = linked(np.arange(len(held)), x)
@@ -353,12 +466,14 @@ def test_bitmaps_lose_no_similar_pair():
     assert kept and lost
 
 
-def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch):
+@pytest.mark.parametrize("starred", [4096, 10])
+def test_near_duplicates_are_decided_by_shingle_sets(spark, monkeypatch, starred):
     import random
 
     # a centre whose copies aren't similar to one another, chains, pairs at 0.8 and just below it; small rounds and copies of sets
     monkeypatch.setattr(simhash, "NEAREST", 1)
     monkeypatch.setattr(simhash, "SERVED", 3)
+    monkeypatch.setattr(simhash, "STARRED", starred)
     rnd = random.Random(8)
 
     def fresh(n):
@@ -402,19 +517,47 @@ def test_no_pair_of_few_shingles_is_lost(spark):
     assert got == {i for i, _ in data if i % 2 == 0 or i >= 10**6}
 
 
-def test_similar_sets_share_the_first_shingle_of_their_prefixes():
+def test_similar_sets_share_the_first_shingles_of_their_prefixes():
     rnd = np.random.default_rng(3)
-    for size in (1, 2, 4, 5, 6, 9, 20, 333):
+    for size in (1, 2, 4, 5, 6, 9, 20, 333, 1200):
         for _ in range(40):
             x = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64))
             lost = int(rnd.integers(0, size // 5 + 1))
             y = np.unique(rnd.permutation(x)[lost:])
-            common = np.unique(rnd.permutation(x)[: size // 2]), rnd.integers(4, 9, size // 2)
-            a, b = simhash.prefix(x, common).tolist(), simhash.prefix(y, common).tolist()
-            first = next(h for h in simhash.prefix(np.intersect1d(x, y), common).tolist())
-            assert first in a and first in b
-            at = np.array([(len(x) << 32) + a.index(first), (len(y) << 32) + b.index(first)])
-            assert simhash._placed(at, simhash.SIMILARITY)(np.array([0]), np.array([1])).all()
+            a, b = simhash.prefix(x).tolist(), simhash.prefix(y).tolist()
+            both = set(a) & set(b)
+            assert len(both) >= simhash.shared(len(y)) >= simhash.shared(simhash.least_overlap(len(x)))
+            for h in both:
+                at = np.array([(len(x) << 32) + a.index(h), (len(y) << 32) + b.index(h)])
+                assert simhash._placed(at, simhash.SIMILARITY)(np.array([0]), np.array([1])).all()
+
+
+def test_rare_rows_still_join_every_similar_pair(spark):
+    # sets of one pool of shingles, some of them in very many sets; what each node keeps must meet for all similar pairs
+    rnd = np.random.default_rng(17)
+    common = np.unique(rnd.integers(0, 2**63, 300).astype(np.uint64))
+    sets = {}
+    for k in range(150):
+        base = np.unique(np.r_[rnd.permutation(common)[: rnd.integers(0, 300)], rnd.integers(0, 2**63, rnd.integers(1, 300)).astype(np.uint64)])
+        sets[3 * k] = base
+        for d in (1, 2):
+            lost = rnd.integers(0, len(base) // 8 + 1)
+            sets[3 * k + d] = np.unique(np.r_[rnd.permutation(base)[lost:], rnd.integers(0, 2**63, lost // 2).astype(np.uint64)])
+    rows = [(int(np.int64(np.uint64(h).view(np.int64))), n, (len(x) << 32) + at) for n, x in sets.items() for at, h in enumerate(simhash.prefix(x))]
+    kept = defaultdict(set)
+    for r in simhash.rare_common(spark.createDataFrame(rows, "key long, node long, at long")).collect():
+        kept[r.node].add(r.key)
+    pairs = [(a, b) for a in sets for b in sets if a < b and a // 3 == b // 3 and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    assert len(pairs) > 100 and all(kept[a] & kept[b] for a, b in pairs)
+    assert sum(map(len, kept.values())) < 0.8 * len(rows)
+
+
+def test_counted_segments_bound_the_hamming_distance():
+    rnd = np.random.default_rng(2)
+    x, y = rnd.integers(0, 2**64, (2, 500), dtype=np.uint64)
+    by_hand = [sum(abs((a >> k & 3).bit_count() - (b >> k & 3).bit_count()) for k in range(0, 64, 2)) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    got = np.bitwise_count(simhash.counted(x) ^ simhash.counted(y))
+    assert got.tolist() == by_hand and (got <= np.bitwise_count(x ^ y)).all()
 
 
 # --- 9
@@ -440,6 +583,7 @@ def test_decontamination(spark, block, monkeypatch):
     import random
 
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "WINDOWS", 5)
     rnd = random.Random(6)
     items = [" ".join(rnd.choice("abcdefghij") + str(rnd.randrange(30)) for _ in range(n)) for n in (15, 25, 40, 59, 3, 5, 6)] + ["x x x x x x x x x x", "", None, " "]
     data = []
@@ -465,6 +609,20 @@ def test_decontamination(spark, block, monkeypatch):
     assert decontaminate.drop_contaminated(df, bench.limit(0)).count() == len(data)
 
 
+def test_multi_index_gives_all_items_within_the_radius():
+    rnd = np.random.default_rng(8)
+    shelf = decontaminate.Shelf(24)
+    shelf.fps = rnd.integers(0, 2**64, 500, dtype=np.uint64)
+    shelf.close()
+    for fp in shelf.fps[:40] ^ rnd.integers(0, 2**64, 40, dtype=np.uint64) & rnd.integers(0, 2**64, 40, dtype=np.uint64) & rnd.integers(0, 2**64, 40, dtype=np.uint64):
+        assert shelf.near(fp).tolist() == [k for k, x in enumerate(shelf.fps.tolist()) if (x ^ int(fp)).bit_count() <= 24]
+    s = rnd.integers(0, 2**64, 300, dtype=np.uint64)
+    starts = np.array([0, 1, 2, 40, 41, 200, 290])
+    for size in (1, 7, 10):
+        want = [sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in s[a : a + size].tolist()) > size) for a in starts.tolist()]
+        assert decontaminate.window_fingerprints(s, starts, size).tolist() == want
+
+
 # --- 10
 
 
