@@ -1,55 +1,65 @@
 """Encoding whole texts piece by piece, each distinct piece once.
 
-A byte-level BPE splits a text before it merges, and a split never crosses the start of a run of white
-space that follows other characters. So a text is cut there, each distinct piece is encoded once, and the
-ids of the pieces in order are those of the text. What is remembered is bounded; forgetting costs time only.
+A byte-level BPE splits a text before it merges, and with GPT-2's pattern a split never crosses the start of a
+run of white space that follows other characters. So a text is cut there, each distinct piece is encoded once,
+and the ids of the pieces in order are those of the text. What is remembered is bounded; forgetting costs time
+only. Callers whose tokenizer may split elsewhere say so (``whole``), and their texts aren't cut.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 #: Unicode's White_Space, as the pre-tokenizers' patterns have it (Python's \\s also takes U+001C..U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _DOUBLE = re.compile(f"[{SPACE}]{{2}}")
 _SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: A piece that keeps its ids when it is put before and after others of its kind.
+INNER = re.compile(f"[{SPACE}].*[^{SPACE}]", re.DOTALL)
 #: Bytes of text looked at before the new pieces are encoded, and pieces remembered.
-CHUNK, REMEMBERED = 24 << 20, 400_000
+CHUNK, REMEMBERED = 6 << 20, 400_000
+
+
+class Memory:
+    """Pieces and what they are encoded to, in two generations: what isn't met again goes with the older one."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int):
+        self.encode, self.remembered = encode, remembered
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.remembered // 2:
+            self.old, self.young = self.young, {}
+
+    def learn(self, missing: set[str]) -> None:
+        """Let ``young`` have all the pieces."""
+        found = missing & self.old.keys()
+        self.young.update((k, self.old[k]) for k in found)
+        new = list(missing - found)
+        self.young.update(zip(new, self.encode(new), strict=True))
 
 
 class Pieces:
     """encode: raw pieces -> bytes for each (what the pieces of a text add up to by concatenation)."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], chunk: int = CHUNK, remembered: int = REMEMBERED):
-        self.encode, self.chunk, self.remembered = encode, chunk, remembered
-        self.spaced: dict[str, bytes] = {}  # by the piece less its leading blank; or from a line feed on
-        self.raw: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], chunk: int = CHUNK, remembered: int = REMEMBERED, whole: bool = False):
+        self.chunk, self.whole = chunk, whole
+        # by the piece less its leading blank, or from a line feed on; and by the piece as it is
+        self.spaced = Memory(lambda keys: encode([x if x[:1] == "\n" else " " + x for x in keys]), remembered)
+        self.raw = Memory(encode, remembered)
 
-    @staticmethod
-    def parts(text: str, plain: bool) -> tuple[list[str], list[str]]:
-        """(raw pieces, keys of spaced pieces): the raw ones come first. plain: no two blanks meet in the text."""
-        if not plain:
+    def parts(self, text: str) -> tuple[list[str], list[str]]:
+        """(raw pieces, keys of spaced pieces): the raw ones come first."""
+        if self.whole:
+            return [text], []
+        if _DOUBLE.search(text):
             return _SEGMENT.findall(text), []
         head, *rest = text.replace("\n", " \n").split(" ")
         return [head], rest
 
-    def _learn(self, texts: list[str], plain: list[bool]) -> None:
-        raw, spaced = set(), set()
-        for t, p in zip(texts, plain, strict=True):
-            a, b = self.parts(t, p)
-            raw.update(a)
-            spaced.update(b)
-        if len(self.spaced) + len(self.raw) > self.remembered:
-            self.raw = {}
-            self.spaced = {k: v for k, v in self.spaced.items() if k in spaced}
-        raw.difference_update(self.raw)
-        spaced.difference_update(self.spaced)
-        new = list(spaced)
-        self.spaced.update(zip(new, self.encode([x if x[:1] == "\n" else " " + x for x in new]), strict=True))
-        new = list(raw)
-        self.raw.update(zip(new, self.encode(new), strict=True))
-
     def run(self, texts: list[str]) -> Iterator[bytes]:
         """What each text adds up to, in order."""
         at = 0
@@ -58,12 +68,18 @@ class Pieces:
             while end < len(texts) and (size == 0 or size + len(texts[end]) <= self.chunk):
                 size += len(texts[end])
                 end += 1
-            now = texts[at:end]
-            plain = [not _DOUBLE.search(t) for t in now]
-            self._learn(now, plain)
-            for t, p in zip(now, plain, strict=True):
-                a, b = self.parts(t, p)
-                yield b"".join([*map(self.raw.__getitem__, a), *map(self.spaced.__getitem__, b)])
+            held = [self.parts(t) for t in texts[at:end]]
+            for k, memory in enumerate((self.raw, self.spaced)):
+                memory.turn()
+                missing: set[str] = set()
+                for x in held:
+                    missing.update(filterfalse(memory.young.__contains__, x[k]))
+                memory.learn(missing)
+            raw, spaced = self.raw.young.__getitem__, self.spaced.young.__getitem__
+            for a, b in held:
+                yield b"".join([*map(raw, a), *map(spaced, b)])
+            if self.whole:
+                self.raw.young.clear()
             at = end
 
 
