@@ -14,7 +14,9 @@ from itertools import filterfalse
 
 #: Unicode's White_Space, as the pre-tokenizers' patterns have it (Python's \\s also takes U+001C..U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_DOUBLE = re.compile(f"[{SPACE}]{{2}}")
+#: Without these, all white space of a text is single blanks and line feeds between other characters.
+ODD = ["  ", "\n\n", " \n", "\n ", "\t", "\v", "\f", "\r"]
+ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: A piece that keeps its ids when it is put before and after others of its kind.
 INNER = re.compile(f"[{SPACE}].*[^{SPACE}]", re.DOTALL)
@@ -55,7 +57,7 @@ class Pieces:
         """(raw pieces, keys of spaced pieces): the raw ones come first."""
         if self.whole:
             return [text], []
-        if _DOUBLE.search(text):
+        if any(x in text for x in ODD) or (not text.isascii() and any(x in text for x in ODD_WIDE)):
             return _SEGMENT.findall(text), []
         head, *rest = text.replace("\n", " \n").split(" ")
         return [head], rest
