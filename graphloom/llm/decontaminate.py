@@ -68,11 +68,18 @@ class Shelf:
             value = (self.fps >> at) & mask
             self.index.append({int(v): np.flatnonzero(value == v) for v in np.unique(value)})
 
-    def near(self, fp: np.uint64) -> np.ndarray:
-        """All items whose fingerprint is within the radius."""
-        lists = [x for (at, mask), by in zip(self.blocks, self.index, strict=True) if (x := by.get(int((fp >> at) & mask))) is not None]
-        found = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
-        return found[np.bitwise_count(self.fps[found] ^ fp) <= self.radius]
+    def near(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of fps, item) of all that are within the radius, in order."""
+        agree = np.zeros((len(fps), len(self.items)), bool)
+        for (at, mask), by in zip(self.blocks, self.index, strict=True):
+            value = (fps >> at) & mask
+            for v, found in by.items():
+                rows = np.flatnonzero(value == np.uint64(v))
+                if len(rows):
+                    agree[np.ix_(rows, found)] = True
+        rows, found = np.nonzero(agree)
+        close = np.bitwise_count(fps[rows] ^ self.fps[found]) <= self.radius
+        return rows[close], found[close]
 
 
 class Items:
@@ -121,15 +128,23 @@ class Items:
                 need = similarity * (a + size) / (1 + similarity) - 1e-9
                 if size < 1 or len(pos) < need:
                     continue
-                before = np.zeros(len(s) + 1, np.int64)
-                before[pos + 1] = 1
-                before = np.cumsum(before)
-                starts = np.flatnonzero(before[size:] - before[:-size] >= need)
+                # windows that start before a hit and hold as many as needed: the need-th hit from there is inside
+                last = pos[int(np.ceil(need)) - 1 :] if need > 0 else pos
+                first = pos[: len(last)]
+                near = first + size > last
+                if not near.any():
+                    continue
+                starts = np.unique((last[near, None] - np.arange(size)[None]).ravel()) if near.sum() * size < 1 << 20 else np.arange(pos[0] - size + 1, pos[-1] + 1)
+                starts = starts[(starts >= 0) & (starts + size <= len(s))]
+                starts = starts[np.searchsorted(pos, starts + size) - np.searchsorted(pos, starts) >= need]
                 best: dict[int, tuple] = {}
-                for start, fp in zip(starts.tolist(), window_fingerprints(s, starts, size), strict=True):
-                    piece = None
-                    for k in shelf.near(fp).tolist():
-                        piece = piece or Counter(s[start : start + size].tolist())
+                fps = window_fingerprints(s, starts, size)
+                for at in range(0, len(starts), WINDOWS):
+                    piece, row_before = None, -1
+                    for row, k in zip(*(x.tolist() for x in shelf.near(fps[at : at + WINDOWS])), strict=True):
+                        start, fp = int(starts[at + row]), fps[at + row]
+                        if row != row_before:
+                            piece, row_before = Counter(s[start : start + size].tolist()), row
                         both = sum((piece & shelf.counts[k]).values())
                         score = both / (a + size - both)
                         if score >= similarity:

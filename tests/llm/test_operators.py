@@ -612,10 +612,10 @@ def test_decontamination(spark, block, monkeypatch):
 def test_multi_index_gives_all_items_within_the_radius():
     rnd = np.random.default_rng(8)
     shelf = decontaminate.Shelf(24)
-    shelf.fps = rnd.integers(0, 2**64, 500, dtype=np.uint64)
+    shelf.fps, shelf.items = rnd.integers(0, 2**64, 500, dtype=np.uint64), list(range(500))
     shelf.close()
     for fp in shelf.fps[:40] ^ rnd.integers(0, 2**64, 40, dtype=np.uint64) & rnd.integers(0, 2**64, 40, dtype=np.uint64) & rnd.integers(0, 2**64, 40, dtype=np.uint64):
-        assert shelf.near(fp).tolist() == [k for k, x in enumerate(shelf.fps.tolist()) if (x ^ int(fp)).bit_count() <= 24]
+        assert shelf.near(np.array([fp]))[1].tolist() == [k for k, x in enumerate(shelf.fps.tolist()) if (x ^ int(fp)).bit_count() <= 24]
     s = rnd.integers(0, 2**64, 300, dtype=np.uint64)
     starts = np.array([0, 1, 2, 40, 41, 200, 290])
     for size in (1, 7, 10):
