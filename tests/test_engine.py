@@ -465,3 +465,17 @@ def test_all_pairs_query_starts_from_every_vertex(spark, tmp_path):
     want = by_search(14, list(zip(users, users[1:], strict=False)))
     got = {(r.origin, r.id): r.dist for r in e.queries()["all_pairs_bfs"](spark, str(tmp_path)).collect()}
     assert got == want and max(want.values()) > 6 and len(got) == 14 * 14
+
+
+def test_sphere_query_takes_three_components_and_a_radius(spark):
+    import __spark_entry__ as e
+
+    x = {r.vec_id: list(map(float, r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    want = {}
+    for i in x.keys() & {k - 1 for k in x}:
+        a, b = x[i], x[i + 1]
+        cosine = sum(p * q for p, q in zip(a[:3], b[:3], strict=True)) / (math.hypot(*a[:3]) * math.hypot(*b[:3]))
+        c, r, s = max(-1.0, min(1.0, cosine)), 1 + a[3], 1 + b[3]
+        want[i] = math.acosh(max(1.0, 0.5 * ((1 - c) * math.cosh(r + s) + (1 + c) * math.cosh(r - s))))
+    got = values(e.queries()["sim_mercator_sd"](spark, "/root/testdata/sf0.001"), "id", "similarity")
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
