@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
 from graphloom.session import cut
 
+#: Vertices and directed edges of a graph that every task may hold, distances that a task holds, origins of a task.
+HELD, CELLS, ORIGINS = 1 << 23, 1 << 23, 512
+
 
 def bfs(g: Graph, origins: DataFrame) -> DataFrame:
     """(origin, id, dist) from each origin to every vertex; -1 if it can't be reached.
@@ -30,4 +37,56 @@ def shortest_paths(g: Graph, origin: int) -> DataFrame:
 
 
 def all_pairs(g: Graph) -> DataFrame:
-    return bfs(g, g.nodes.select("id"))
+    """(origin, id, dist) from every vertex to every vertex; -1 if it can't be reached.
+
+    A graph of up to HELD numbers is broadcast; tasks then search from up to 64 origins at once, one bit for each, and no
+    pair is shuffled or written to disk. Larger ones go level by level through joins.
+    """
+    if g.n + 2 * g.m > HELD:
+        return bfs(g, g.nodes.select("id"))
+    spark = g.nodes.sparkSession
+    ids = np.sort(g.nodes.select("id").toArrow()["id"].to_numpy())
+    e = g.edges.select("src", "dst").toArrow()
+    src, dst = (np.searchsorted(ids, e[c].to_numpy()) for c in ("src", "dst"))
+    order = np.argsort(src, kind="stable")
+    shared = spark.sparkContext.broadcast((ids, np.r_[0, np.cumsum(np.bincount(src, minlength=len(ids)))], dst[order].astype(np.int32)))
+    lanes = max(1, min(64, CELLS // max(1, len(ids))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, start, near = shared.value
+        to = pa.array(ids, pa.int32())
+        for b in batches:
+            origins = np.searchsorted(ids, b.column(0).to_numpy())
+            for at in range(0, len(origins), lanes):
+                roots = origins[at : at + lanes]
+                for root, dist in zip(roots, waves(start, near, roots), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), ids[root], np.int32)), to, pa.array(dist)], ["origin", "id", "dist"])
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(ids) // ORIGINS))
+    return g.nodes.select("id").repartitionByRange(tasks, "id").sortWithinPartitions("id").mapInArrow(run, "origin int, id int, dist int")
+
+
+def waves(start: np.ndarray, near: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """A row of distances for each of up to 64 roots; the neighbours of v are near[start[v] : start[v + 1]]."""
+    n = len(start) - 1
+    bit = np.uint64(1) << np.arange(len(roots), dtype=np.uint64)
+    dist = np.full((len(roots), n), -1, np.int32)
+    dist[np.arange(len(roots)), roots] = 0
+    seen, reach = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    np.bitwise_or.at(seen, roots, bit)
+    nodes, level = np.unique(roots), 0
+    bits = seen[nodes]
+    while len(nodes):
+        level += 1
+        deg = start[nodes + 1] - start[nodes]
+        ends = np.cumsum(deg)
+        dst = near[np.repeat(start[nodes] - ends + deg, deg) + np.arange(ends[-1])]
+        np.bitwise_or.at(reach, dst, np.repeat(bits, deg))
+        nodes = np.flatnonzero(reach) if 8 * len(dst) > n else np.unique(dst)
+        bits = reach[nodes] & ~seen[nodes]
+        reach[nodes] = 0
+        nodes, bits = nodes[bits != 0], bits[bits != 0]
+        seen[nodes] |= bits
+        row, lane = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        dist[lane, nodes[row]] = level
+    return dist

@@ -479,3 +479,15 @@ def test_sphere_query_takes_three_components_and_a_radius(spark):
         want[i] = math.acosh(max(1.0, 0.5 * ((1 - c) * math.cosh(r + s) + (1 + c) * math.cosh(r - s))))
     got = values(e.queries()["sim_mercator_sd"](spark, "/root/testdata/sf0.001"), "id", "similarity")
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+
+
+def test_all_pairs_are_found_where_the_origins_are(spark, monkeypatch):
+    edges = [(i, i + 1) for i in range(90)] + [(3, 60), (100, 101), (101, 100)]
+    g = graph(spark, edges)
+    plan = algorithms.all_pairs(g)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "dist" not in plan.split("Exchange")[1]
+    want = {(o, i, d) for (o, i), d in by_search(102, edges).items()}
+    assert {tuple(r) for r in algorithms.all_pairs(g).collect()} == want
+    monkeypatch.setattr(algorithms, "CELLS", 300)
+    assert {tuple(r) for r in algorithms.all_pairs(g).collect()} == want
+    assert algorithms.all_pairs(Graph(g.nodes.limit(0), g.edges.limit(0))).count() == 0
