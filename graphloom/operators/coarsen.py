@@ -7,15 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.random import ball_vector
 from graphloom.operators.graph import Graph, dense
 from graphloom.operators.pairs import dimension
-from graphloom.session import cut
+from graphloom.session import cut, wide_batches
 
 SWEEPS, CAPACITY, SMALLEST = 20, 6, 10
+#: Vertices and directed edges that one task may hold.
+HELD = 1 << 22
 
 
 def compact(clusters: DataFrame) -> DataFrame:
@@ -57,7 +61,12 @@ def label_propagation(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capac
     its own one included, of equals the one with the smallest neighbour; where more apply than there is room for, the
     heaviest (then smallest) applicants get it and the others try again in the next sweep. Sweeps end early when
     nothing moves any more, because then nothing ever would. See sequential_labels for sweeps vertex by vertex.
+
+    A graph of up to HELD vertices and directed edges takes all its rounds in one task, with the same result: the plans of
+    up to 40 distributed rounds would fill the driver.
     """
+    if g.n + weighted.count() <= HELD:
+        return compact(cut(_held_labels(g, weighted, sweeps, capacity)))
     label = cut(g.nodes.select("id", F.col("id").alias("cluster")))
     edges = weighted.select("src", "dst", "w")
     for _ in range(sweeps):
@@ -80,6 +89,56 @@ def label_propagation(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capac
     return compact(label)
 
 
+def _held_labels(g: Graph, weighted: DataFrame, sweeps: int, capacity: int) -> DataFrame:
+    """(id, cluster) of label_propagation's rounds, in one task."""
+    nodes = g.nodes.select(F.lit(None).cast("int").alias("src"), F.col("id").cast("int").alias("dst"), F.pmod(F.xxhash64("id"), F.lit(2)).cast("double").alias("w"))
+    rows = nodes.unionAll(weighted.select(F.col("src").cast("int"), F.col("dst").cast("int"), F.col("w").cast("double")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        none = t["src"].is_null()
+        own, e = t.filter(none), t.filter(pc.invert(none))
+        order = np.argsort(own["dst"].to_numpy())
+        ids, half = own["dst"].to_numpy()[order], own["w"].to_numpy()[order]
+        src, dst, w = (e[c].to_numpy() for c in ("src", "dst", "w"))
+        known = np.isin(src, ids) & np.isin(dst, ids)
+        src, dst, w = np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known]), w[known]
+        parts = [(src[half[src] == k], dst[half[src] == k], w[half[src] == k]) for k in (0, 1)]
+        label = np.arange(len(ids))
+        for _ in range(sweeps):
+            if not sum([_half_sweep(label, *part, capacity) for part in parts]):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(ids[label], pa.int32())], ["id", "cluster"])
+
+    wide_batches(g.nodes.sparkSession)
+    return rows.repartition(1).mapInArrow(run, "id int, cluster int")
+
+
+def _half_sweep(label: np.ndarray, src: np.ndarray, dst: np.ndarray, w: np.ndarray, capacity: int) -> int:
+    """Changes the labels of one half of the vertices, the sources; how many of them moved."""
+    if not len(src):
+        return 0
+    size = np.bincount(label, minlength=len(label))
+    order = np.lexsort((label[dst], src))
+    s, c = src[order], label[dst][order]
+    at = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
+    s, c, heavy, first = s[at], c[at], np.add.reduceat(w[order], at), np.minimum.reduceat(dst[order], at)
+    stays = c == label[s]
+    room = np.flatnonzero(stays | (size[c] < capacity))
+    room = room[np.lexsort((-first[room], stays[room], heavy[room], s[room]))]
+    best = room[np.r_[s[room][1:] != s[room][:-1], True]] if len(room) else room
+    asked = best[~stays[best]]
+    asked = asked[np.lexsort((s[asked], -heavy[asked], c[asked]))]
+    to = c[asked]
+    start = np.searchsorted(to, to)
+    taken = asked[np.arange(1, len(to) + 1) - start + size[to] <= capacity]
+    label[s[taken]] = c[taken]
+    return len(taken)
+
+
 def sequential_labels(g: Graph, weighted: DataFrame, sweeps: int = SWEEPS, capacity: int = CAPACITY, order: str = "degree", seed: int = 0) -> DataFrame:
     """(id, cluster): the same rule vertex by vertex, labels at once; compacted.
 

@@ -542,3 +542,18 @@ def test_all_pairs_are_found_where_the_origins_are(spark, monkeypatch):
     monkeypatch.setattr(algorithms, "CELLS", 300)
     assert {tuple(r) for r in algorithms.all_pairs(g).collect()} == want
     assert algorithms.all_pairs(Graph(g.nodes.limit(0), g.edges.limit(0))).count() == 0
+
+
+def test_label_propagation_in_one_task_equals_the_rounds(spark, monkeypatch):
+    rows = [(i, (i * 7 + k * k) % 60) for i in range(60) for k in range(1, 4)] + [(70, 71), (75, 75)]
+    g = graph(spark, rows)
+    weighted = g.edges.withColumn("w", (1 + (F.col("src") + F.col("dst")) % 3).cast("double"))
+    shared = []
+    monkeypatch.setattr(coarsen, "cut", lambda df, cut=coarsen.cut: shared.append(df) or cut(df))
+    got = values(coarsen.label_propagation(g, weighted, sweeps=2), "id", "cluster")
+    assert len(shared) == 1  # however many rounds there are
+    monkeypatch.setattr(coarsen, "HELD", 0)
+    assert got == values(coarsen.label_propagation(g, weighted, sweeps=2), "id", "cluster")
+    assert len(got) == g.n and 1 < len(set(got.values())) < g.n and len(shared) > 4
+    none = Graph(g.nodes.limit(0), g.edges.limit(0))
+    assert coarsen.label_propagation(none, weighted.limit(0)).count() == 0
