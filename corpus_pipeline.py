@@ -37,7 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id: by op8's links of SimHash
+    fingerprints, and by similar sets of shingles, which those can miss."""
     return simhash.drop_near_duplicates(docs)
 
 

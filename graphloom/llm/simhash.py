@@ -9,9 +9,12 @@ within it are compared bit by bit.
 
 Exact copies collapse to one fingerprint before the join. Inside a bucket only a spanning set of links
 goes out, never all pairs; buckets are compared in streaming order, a hot one by breadth-first search
-over the fingerprints not reached yet. The stage on word shingles finds candidates by prefixes of the
-ordered sets, which loses no similar pair, bounds the overlap of two sets by positions and bitmaps inside the buckets,
-and compares the sets of what is left; fingerprints only say which candidates come first.
+over the fingerprints not reached yet.
+
+The pipeline's stage takes these links, and besides them those of similar sets of five-word shingles, whose
+fingerprints can lie further apart than any radius a grid serves. Their candidates come from prefixes of the ordered sets,
+which loses no similar pair; positions and bitmaps bound the overlap of two sets inside the buckets, and the sets of what
+is left are compared.
 """
 
 from __future__ import annotations
@@ -104,14 +107,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def word_hashes(docs: DataFrame) -> DataFrame:
-    """(id, d0, d1) of (id, text) rows: the 128-bit hash of the words."""
+    """(id, d0, d1, f0) of (id, text) rows: the 128-bit hash of the words, and the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in some(batches):
-            got = np.array([divmod(xxhash.xxh3_128_intdigest(b" ".join(words_of(t))), 1 << 64) for t in texts(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], ["id", "d0", "d1"])
+            held = [words_of(t) for t in texts(b)]
+            got = np.array([[*divmod(xxhash.xxh3_128_intdigest(b" ".join(w)), 1 << 64), *simhash(w)] for w in held], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in got.T)], ["id", "d0", "d1", "f0"])
 
-    return docs.mapInArrow(run, "id long, d0 long, d1 long")
+    return docs.mapInArrow(run, "id long, d0 long, d1 long, f0 long")
 
 
 def radius_keys(fps: np.ndarray, radius: int, segment: int = 2) -> Iterator[np.ndarray]:
@@ -269,6 +273,16 @@ def groups(fps: DataFrame, radius: int) -> DataFrame:
     return fps.join(named, "f0").select("id", "f0", "component_id")
 
 
+def fingerprint_links(nodes: DataFrame, radius: int = 2) -> DataFrame:
+    """(src, dst) pairs of (node, f0) rows that connect all whose fingerprints are linked at the radius or equal."""
+    reps = cut(nodes.groupBy("f0").agg(F.min("node").alias("least")))
+    found = links(reps.select(F.col("f0").alias("node"), "f0"), 1, radius, lambda x: radius_keys(x, radius)).distinct()
+    end = lambda name: reps.select(F.col("f0").alias(name), F.col("least").alias(f"{name}_node"))
+    near = found.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    equal = nodes.join(reps, "f0").select(F.col("node").alias("src"), F.col("least").alias("dst"))
+    return near.union(equal).where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row, by 64-bit SimHash and links at ``radius`` bits or fewer.
 
@@ -490,9 +504,9 @@ def _across(dealt: DataFrame, sets: DataFrame, labels: DataFrame, nearest: int)
 
 
 def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """(node, label) of the nodes similar to another: components of the candidate pairs that hold exactly.
+    """(node, label) of the nodes linked to another: components of the fingerprints' links and of the pairs of similar sets.
 
-    ``docs``: id, text; ``reps``: node (the id of a row in docs). Nodes that share a rare shingle of their prefixes, at
+    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0. Nodes that share a rare shingle of their prefixes, at
     places and with sizes that allow the similarity, get a sketch. First each bucket proposes stars, which connect its
     candidates; where all of them hold, a group is done. In the others, rounds propose what is still of different
     labels, the nearest first, until no row had to leave one out: a pair of candidates is then either in one component
@@ -503,6 +517,8 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     def named(pairs: DataFrame) -> DataFrame:
         return connected_components(pairs).select(F.col("id").alias("node"), F.col("component").alias("label"))
 
+    linked = cut(fingerprint_links(reps.select("node", "f0")))
+    release(spark)
     own = docs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
     dealt = cut(rare_common(prefixes(own, shingle)))
     release(spark)
@@ -512,7 +528,7 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     tested = cut(_stars(dealt, sets))
     release(spark)
     true, nearest = cut(similar(tested, sets)), NEAREST
-    label = named(true)
+    label = named(linked.union(true))
     # a bucket in parts is connected by its first node only, so it may still hold pairs of different groups
     divided = not dealt.groupBy("key").count().where(F.col("count") > STARRED).isEmpty()
     if not divided and tested.join(true, ["src", "dst"], "left_anti").isEmpty():
@@ -528,7 +544,7 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
         release(spark)
         if not found.isEmpty():
             true = cut(true.union(found))
-            label = named(true)
+            label = named(linked.union(true))
         if not more:
             return label
         tested, nearest = cut(tested.union(new)), nearest * 16
@@ -537,15 +553,16 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """The rows of ``docs`` less all but one (the smallest id) of each group of near duplicates.
 
-    Texts link if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more, which is
-    decided by the sets themselves. Candidates share a shingle of the prefixes of their sets, which every similar
-    pair does. SimHash fingerprints order the search and cut nothing. Texts of the same words are one node. Null and
-    wordless texts are one group. Rows with a null id stay. Rows that share an id are one document, and one of them
+    Texts link as in near_duplicates, if their 64-bit SimHash fingerprints differ in two bits or fewer, found by the
+    same lossless join of segment counts. Texts also link if the sets of their five-word shingles have a Jaccard
+    similarity of 0.8 or more, which is decided by the sets themselves: such fingerprints may differ in ten bits and more.
+    These candidates share a shingle of the prefixes of their sets, which every similar pair does. Groups are the
+    components of both kinds of links. Texts of the same words are one node. Null and wordless texts are one group. Rows with a null id stay. Rows that share an id are one document, and one of them
     stays: the first by a hash of its text. Other columns pass; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     known = columns(docs, id_col, text_col).where("id is not null")
-    reps = stash(word_hashes(known).groupBy("d0", "d1").agg(F.min("id").alias("node")).select("node"))
+    reps = stash(word_hashes(known).groupBy("d0", "d1").agg(F.min("id").alias("node"), F.min("f0").alias("f0")).select("node", "f0"))
     later = similar_groups(known, reps, shingle).where("label < node").select("node")
     id_ = fresh("id", docs.columns)
     keep = cut(reps.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(id_)))

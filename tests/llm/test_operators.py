@@ -443,6 +443,26 @@ def test_near_duplicate_stage_keeps_one_of_a_group(spark):
     assert simhash.drop_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicate_stage_takes_the_links_of_fingerprints(spark):
+    import random
+
+    # equal three-word shingles and nearly equal fingerprints, but sets of five-word shingles that are far apart
+    rnd = random.Random(12)
+    w = [f"v{rnd.randrange(10**6)}" for _ in range(200)]
+    pool = [" ".join(x) for x in (w, *(w[:k] + ["x"] + w[k:] for k in range(0, 200, 3)))]
+    spread = [" ".join(f"{x} {x}" if k % 9 == 4 else x for k, x in enumerate(w * 4)), " ".join(w * 4)]
+    texts = ["a a a a a a a", "a a a a", "a a a b", "a  A a a a", *pool, *spread, "b c d e f g"]
+    data = [(i, t, "en", "s", 1, "x", 1, None) for i, t in enumerate(texts)]
+    fps, sets = [fingerprint(t) for t in texts], [shingles(t) for t in texts]
+    near = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2
+    assert any(near(a, b) and not similar(sets[a], sets[b]) for a in range(len(texts)) for b in range(a))
+    least = {}
+    for i, c in enumerate(classes(len(texts), lambda a, b: near(a, b) or similar(sets[a], sets[b]))):
+        least.setdefault(c, i)
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, data)).collect())
+    assert got == sorted(least.values()) and 0 in got and 1 not in got
+
+
 def test_bitmaps_lose_no_similar_pair():
     rnd = np.random.default_rng(11)
     held = []
