@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import columns, fresh, mix, some, texts
 from graphloom.plans.components import connected_components
-from graphloom.session import cut, prepare, release, spread_join, stash
+from graphloom.session import cut, matching, prepare, release, spread_join, stash, without
 
 #: Shingles hashed at once; bounds memory for very long texts.
 BLOCK = 1 << 17
@@ -503,10 +503,10 @@ def _across(dealt: DataFrame, sets: DataFrame, labels: DataFrame, nearest: int)
     return found.groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.max("more").alias("more"))
 
 
-def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+def similar_groups(docs: DataFrame, reps: DataFrame, copies: DataFrame, shingle: int) -> DataFrame:
     """(node, label) of the nodes linked to another: components of the fingerprints' links and of the pairs of similar sets.
 
-    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0. Nodes that share a rare shingle of their prefixes, at
+    ``docs``: id, text; ``reps``: node (the id of a row in docs), f0; ``copies``: the ids of docs that aren't nodes. Nodes that share a rare shingle of their prefixes, at
     places and with sizes that allow the similarity, get a sketch. First each bucket proposes stars, which connect its
     candidates; where all of them hold, a group is done. In the others, rounds propose what is still of different
     labels, the nearest first, until no row had to leave one out: a pair of candidates is then either in one component
@@ -519,20 +519,23 @@ def similar_groups(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
 
     linked = cut(fingerprint_links(reps.select("node", "f0")))
     release(spark)
-    own = docs.join(reps.select(F.col("node").alias("id")), "id", "left_semi").select("id", "text")
+    own = without(docs, F.col("id"), copies.select(F.col("id").alias("copy")))
     dealt = cut(rare_common(prefixes(own, shingle)))
     release(spark)
-    near = stash(dealt.select(F.col("node").alias("id")).distinct())
-    sets = stash(shingle_sets(docs.join(near, "id", "left_semi").select("id", "text"), shingle))
+    near = cut(dealt.select("node").distinct())
+    sets = stash(shingle_sets(matching(docs, F.col("id"), near), shingle))
     release(spark)
     tested = cut(_stars(dealt, sets))
     release(spark)
     true, nearest = cut(similar(tested, sets)), NEAREST
     label = named(linked.union(true))
-    # a bucket in parts is connected by its first node only, so it may still hold pairs of different groups
-    divided = not dealt.groupBy("key").count().where(F.col("count") > STARRED).isEmpty()
-    if not divided and tested.join(true, ["src", "dst"], "left_anti").isEmpty():
+    # of a small bucket all candidates were tested; one in parts is connected by its first node only, so it may still
+    # hold pairs of different groups even if all of the stars hold
+    counts = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(SMALL, STARRED))
+    most = counts.agg(F.max("n")).first()[0]
+    if most is None or most <= STARRED and tested.join(true, ["src", "dst"], "left_anti").isEmpty():
         return label
+    dealt = cut(spread_join(dealt, counts, ["key"]).select("key", "node", "at"))
     nodes = cut(dealt.select("node").distinct())
     while True:
         labels = cut(nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
@@ -557,17 +560,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same lossless join of segment counts. Texts also link if the sets of their five-word shingles have a Jaccard
     similarity of 0.8 or more, which is decided by the sets themselves: such fingerprints may differ in ten bits and more.
     These candidates share a shingle of the prefixes of their sets, which every similar pair does. Groups are the
-    components of both kinds of links. Texts of the same words are one node. Null and wordless texts are one group. Rows with a null id stay. Rows that share an id are one document, and one of them
-    stays: the first by a hash of its text. Other columns pass; an empty table gives an empty result.
+    components of both kinds of links. Texts of the same words are one node. Null and wordless texts are one group. Rows
+    with a null id stay. Rows that share an id are one document, and one of them stays: the first by a hash of its text. Other columns pass; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     known = columns(docs, id_col, text_col).where("id is not null")
-    reps = stash(word_hashes(known).groupBy("d0", "d1").agg(F.min("id").alias("node"), F.min("f0").alias("f0")).select("node", "f0"))
-    later = similar_groups(known, reps, shingle).where("label < node").select("node")
+    hashes = cut(word_hashes(known))
+    reps = cut(hashes.groupBy("d0", "d1").agg(F.min("id").alias("node"), F.min("f0").alias("f0")).select("node", "f0"))
+    copies = cut(hashes.select("id").distinct().join(reps, F.col("id") == F.col("node"), "left_anti"))
+    release(docs.sparkSession)
+    later = similar_groups(known, reps, copies, shingle).where("label < node").select("node")
     id_ = fresh("id", docs.columns)
-    keep = cut(reps.select("node").distinct().join(later, "node", "left_anti").select(F.col("node").alias(id_)))
     doc = F.col(f"`{id_col}`")
-    own = docs.join(keep, doc.cast("long") == F.col(id_), "left_semi")
+    own = without(docs.where(doc.isNotNull()), doc.cast("long"), cut(copies.union(later).toDF(id_)))
     if not known.groupBy("id").count().where("count > 1").isEmpty():
         place, content = fresh("place", docs.columns), F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in docs.columns))
         first = Window.partitionBy(doc).orderBy(F.xxhash64(F.col(f"`{text_col}`").cast("string")), content)

@@ -463,6 +463,36 @@ def test_near_duplicate_stage_takes_the_links_of_fingerprints(spark):
     assert got == sorted(least.values()) and 0 in got and 1 not in got
 
 
+def test_pairs_of_small_buckets_are_proposed_once(spark, monkeypatch):
+    import random
+
+    # candidates that don't hold; every bucket is small, so no round over mixed buckets is due
+    monkeypatch.setattr(simhash, "_across", lambda *_: pytest.fail("small buckets proposed again"))
+    rnd, texts = random.Random(6), []
+    for _ in range(8):
+        w = [f"u{rnd.randrange(10**6)}" for _ in range(94)]
+        texts += [w, w[:-11] + [f"u{rnd.randrange(10**6)}" for _ in range(11)], [*w[:-1], "end"]]
+    data = [(i, " ".join(t), "en", "s", 1, "x", 1, None) for i, t in enumerate(texts)]
+    got = sorted(r.doc_id for r in simhash.drop_near_duplicates(frame(spark, data)).collect())
+    assert got == [i for i in range(24) if i % 3 < 2]
+
+
+@pytest.mark.parametrize("marks", [1 << 26, 1 << 15])
+def test_bitmaps_of_ids_lose_no_row(spark, monkeypatch, marks):
+    from graphloom import session
+
+    monkeypatch.setattr(session, "MARKS", marks)  # the smaller one is full
+    rows_ = spark.range(-200000, 200000, 1, 4).select("id", (F.col("id") * 3).alias("x"))
+    for step, first in ((1, 199999), (7, -200000), (2, -200000), (1, 200000)):
+        ids = spark.range(first, 200000, step).toDF("gone").cache()
+        want = set(range(first, 200000, step))
+        assert {r.id for r in session.matching(rows_, F.col("id"), ids).collect()} == want
+        left = session.without(rows_, F.col("id"), ids)
+        assert left.columns == rows_.columns and {r.id for r in left.collect()} == set(range(-200000, 200000)) - want
+    beside, few = session.marked(rows_, F.col("id"), spark.range(100).toDF("gone"))
+    assert beside.where(few).count() < 0.02 * 400000
+
+
 def test_bitmaps_lose_no_similar_pair():
     rnd = np.random.default_rng(11)
     held = []
