@@ -65,6 +65,46 @@ def test_long_chain_components(spark):
     assert {comp[i] for i in range(61)} == {0} and comp[70] == comp[71] == 10
 
 
+@pytest.mark.parametrize(("most", "rounds"), [(1 << 22, False), (0, True)])
+def test_components_of_a_held_graph_take_no_rounds(spark, monkeypatch, most, rounds):
+    from graphloom.plans import components
+
+    taken, stars = [], components._stars
+    monkeypatch.setattr(components, "HELD", most, raising=False)
+    monkeypatch.setattr(components, "_stars", lambda *a, **b: taken.append(1) or stars(*a, **b))
+    ids = scattered(90)
+    edges = [(ids[i], ids[i + 1]) for i in range(40)] + [(ids[50], x) for x in ids[51:70]] + [(ids[80], ids[80]), (ids[3], None), (None, ids[85]), (ids[71], ids[70]), (ids[70], ids[71])]
+    got = components.connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(3))
+    want = {x: min(part) for part in (ids[:41], ids[50:70], ids[70:72]) for x in part}
+    assert [(r.id, r.component) for r in got.orderBy("id").collect()] == sorted(want.items())
+    assert bool(taken) == rounds
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def scattered(n):
+    """Distinct signed 64-bit ids in no order."""
+    return [(k * 0x9E3779B97F4A7C15 + 12345) % 2**64 - 2**63 for k in range(n)]
+
+
+def test_least_reachable_by_hand():
+    import numpy as np
+
+    from graphloom.plans.components import least_reachable
+
+    draw = np.random.default_rng(3)
+    for n, m in ((1, 0), (30, 12), (200, 150), (200, 600), (500, 499)):
+        u, v = draw.integers(-n, n, m), draw.integers(-n, n, m)
+        if m == n - 1:  # a chain of shuffled names
+            name = draw.permutation(n)
+            u, v = name[:-1], name[1:]
+        least = {int(x): int(x) for x in np.r_[u, v]}
+        for _ in least:
+            for a, b in zip(u.tolist(), v.tolist(), strict=True):
+                least[a] = least[b] = min(least[a], least[b])
+        ids, found = least_reachable(u, v)
+        assert dict(zip(ids.tolist(), found.tolist(), strict=True)) == least and len(ids) == len(least)
+
+
 def test_coarsening(spark):
     g = graph(spark, [(0, 1), (0, 2), (1, 2), (2, 3), (2, 4), (4, 5), (4, 6), (5, 6)])
     cl = spark.createDataFrame(list(enumerate([0, 0, 1, 2, 3, 3, 3])), "id int, cluster int")
