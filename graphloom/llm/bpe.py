@@ -21,6 +21,9 @@ from graphloom.llm.common import columns, strings
 from graphloom.llm.pieces import SPACE, Pieces, gathered
 from graphloom.session import prepare
 
+#: Bytes of text whose pieces are replayed together; the lists and arrays of a block take some 50 times that.
+CHUNK = 3 << 20
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A rank file: a base64 token and its rank on each line."""
@@ -177,7 +180,7 @@ class MergeReplay:
         return self.flat[np.repeat(self.offset[ids] - (end - size), size) + np.arange(total)].tobytes()
 
     def encoder(self) -> Pieces:
-        return Pieces(self.encode)
+        return Pieces(self.encode, CHUNK)
 
 
 _READY: dict[tuple[str, str], tuple[MergeReplay, Pieces, list[str]]] = {}
@@ -202,7 +205,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay, pieces, decimal = _ready(path, pattern)
-        for held in gathered(batches):
+        for held in gathered(batches, CHUNK):
             found = pieces.run([t for b in held for t in strings(b)])
             for b in held:
                 n, a, d, all_ids = [], [], [], []

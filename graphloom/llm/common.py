@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,18 @@ def strings(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that is used again would keep it, beside all that the JVM holds."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+    """The batches that have rows; what an earlier task of the worker has freed goes before them, what they took after them."""
+    tidy()
+    yield from (b for b in batches if b.num_rows)
+    tidy()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

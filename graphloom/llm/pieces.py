@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import filterfalse
 
+from graphloom.llm.common import some
+
 #: Unicode's White_Space, as the pre-tokenizers' patterns have it (Python's \\s also takes U+001C..U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Without these, all white space of a text is single blanks and line feeds between other characters.
@@ -88,12 +90,11 @@ class Pieces:
 def gathered(batches: Iterator, size: int = CHUNK) -> Iterator[list]:
     """Arrow batches in lists of about ``size`` bytes, so that new pieces are encoded together."""
     held, total = [], 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            total += b.nbytes
-            if total >= size:
-                yield held
-                held, total = [], 0
+    for b in some(batches):
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
     if held:
         yield held

@@ -728,3 +728,24 @@ def test_rank_files_are_read():
         token, rank = next(f).split()
     assert ranks[base64.b64decode(token)] == int(rank)
     assert SCHEMA.startswith("doc_id long")
+
+
+def test_a_worker_gives_freed_memory_back():
+    import pyarrow as pa
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+    def batches():
+        for _ in range(3):
+            yield pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["x"])
+
+    before = held()
+    for b in common.some(batches()):
+        assert b.num_rows == 1
+        junk = [np.full(12_000, k) for k in range(2000)]  # 96 kB each, below malloc's threshold for maps: 190 MB
+        last = junk[-1]  # keeps the top of the heap, so that malloc alone returns nothing
+        del junk
+    assert held() - before < 60 and len(last) == 12_000
