@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.operators.graph import Graph
 from graphloom.session import cut
 
-#: Vertices and directed edges of a graph that every task may hold, distances that a task holds, origins of a task.
-HELD, CELLS, ORIGINS = 1 << 23, 1 << 23, 512
+#: Vertices and directed edges of a graph that every task may hold, distances that a task holds, origins of a task, rows of a batch.
+HELD, CELLS, ORIGINS, ROWS = 1 << 23, 1 << 23, 512, 1 << 17
 
 
 def bfs(g: Graph, origins: DataFrame) -> DataFrame:
@@ -40,12 +40,13 @@ def all_pairs(g: Graph) -> DataFrame:
     """(origin, id, dist) from every vertex to every vertex; -1 if it can't be reached.
 
     A graph of up to HELD numbers is broadcast; tasks then search from up to 64 origins at once, one bit for each, and no
-    pair is shuffled or written to disk. Larger ones go level by level through joins.
+    pair is shuffled or written to disk. The origins alternate in the rows, which are written in a fraction of the bytes
+    that ids take which run through once for each origin. Larger graphs go level by level through joins.
     """
     if g.n + 2 * g.m > HELD:
         return bfs(g, g.nodes.select("id"))
     spark = g.nodes.sparkSession
-    ids = np.sort(g.nodes.select("id").toArrow()["id"].to_numpy())
+    ids = np.sort(g.nodes.select("id").toArrow()["id"].to_numpy().astype(np.int32))
     e = g.edges.select("src", "dst").toArrow()
     src, dst = (np.searchsorted(ids, e[c].to_numpy()) for c in ("src", "dst"))
     order = np.argsort(src, kind="stable")
@@ -54,24 +55,26 @@ def all_pairs(g: Graph) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, start, near = shared.value
-        to = pa.array(ids, pa.int32())
         for b in batches:
             origins = np.searchsorted(ids, b.column(0).to_numpy())
             for at in range(0, len(origins), lanes):
                 roots = origins[at : at + lanes]
-                for root, dist in zip(roots, waves(start, near, roots), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), ids[root], np.int32)), to, pa.array(dist)], ["origin", "id", "dist"])
+                dist, size = waves(start, near, roots), max(1, ROWS // len(roots))
+                for a in range(0, len(ids), size):
+                    to = ids[a : a + size]
+                    columns = np.tile(ids[roots], len(to)), np.repeat(to, len(roots)), dist[a : a + size].ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in columns], ["origin", "id", "dist"])
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(ids) // ORIGINS))
     return g.nodes.select("id").repartitionByRange(tasks, "id").sortWithinPartitions("id").mapInArrow(run, "origin int, id int, dist int")
 
 
 def waves(start: np.ndarray, near: np.ndarray, roots: np.ndarray) -> np.ndarray:
-    """A row of distances for each of up to 64 roots; the neighbours of v are near[start[v] : start[v + 1]]."""
-    n = len(start) - 1
-    bit = np.uint64(1) << np.arange(len(roots), dtype=np.uint64)
-    dist = np.full((len(roots), n), -1, np.int32)
-    dist[np.arange(len(roots)), roots] = 0
+    """A row of distances to up to 64 roots for each vertex; the neighbours of v are near[start[v] : start[v + 1]]."""
+    n, lanes = len(start) - 1, np.arange(len(roots))
+    bit = np.uint64(1) << lanes.astype(np.uint64)
+    dist = np.full((n, len(roots)), -1, np.int32)
+    dist[roots, lanes] = 0
     seen, reach = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     np.bitwise_or.at(seen, roots, bit)
     nodes, level = np.unique(roots), 0
@@ -87,6 +90,6 @@ def waves(start: np.ndarray, near: np.ndarray, roots: np.ndarray) -> np.ndarray:
         reach[nodes] = 0
         nodes, bits = nodes[bits != 0], bits[bits != 0]
         seen[nodes] |= bits
-        row, lane = np.nonzero(np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-        dist[lane, nodes[row]] = level
+        found = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : len(roots)]
+        dist[nodes] += found * np.int32(level + 1)
     return dist

@@ -600,6 +600,17 @@ def test_all_pairs_are_found_where_the_origins_are(spark, monkeypatch):
     assert algorithms.all_pairs(Graph(g.nodes.limit(0), g.edges.limit(0))).count() == 0
 
 
+def test_all_pairs_take_few_bytes(spark, tmp_path):
+    """The rows of 512 origins take less than a byte each in a written table."""
+    import pyarrow.parquet as pq
+
+    g = graph(spark, [(i, (i * k + 1) % 4000) for i in range(4000) for k in (2, 3, 7)])
+    algorithms.all_pairs(g).where("origin < 512").write.parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.glob("out/*.parquet")]
+    rows, size = sum(m.num_rows for m in files), sum(m.row_group(k).column(c).total_compressed_size for m in files for k in range(m.num_row_groups) for c in range(3))
+    assert rows == 512 * 4000 and size < rows
+
+
 def test_label_propagation_in_one_task_equals_the_rounds(spark, monkeypatch):
     rows = [(i, (i * 7 + k * k) % 60) for i in range(60) for k in range(1, 4)] + [(70, 71), (75, 75)]
     g = graph(spark, rows)
