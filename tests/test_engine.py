@@ -615,6 +615,26 @@ def test_reconstruction_query_makes_no_rows_of_pairs(spark, monkeypatch):
     assert e.queries()["reconstruction"](spark, "/root/testdata/sf0.001").count() == 1
 
 
+def test_rows_of_ranks_alternate_and_pack(spark, tmp_path):
+    """Equal to the join of pairs, and written in few bytes: ranks come together, not all others of one vertex."""
+    import pyarrow.parquet as pq
+
+    g, p = tied(spark)
+    for columns in (["v", "x", "rk", "recall"], ["v", "x", "rk", "precision"], ["v", "x", "similarity", "is_nb", "hits", "deg"]):
+        for digits in (9, None):
+            got = metrics.ranked(g, p, digits=digits, columns=columns, places=6)
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+            want = metrics._shuffled(g, p, "euclidean", None, 0, digits)
+            want = want.select(*(F.round(c, 6).alias(c) if c in ("precision", "recall") else F.col(c) for c in columns))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    n = 1500
+    far = points(spark, [(math.sin(i * i), math.cos(3 * i * i)) for i in range(n)])
+    metrics.ranked(graph(spark, [(i, (i * 7 + 1) % n) for i in range(n)]), far, digits=9, columns=["v", "x", "rk", "recall"], places=6).write.parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("out/*.parquet")]
+    rows, size = sum(m.num_rows for m in files), [sum(m.row_group(k).column(c).total_compressed_size for m in files for k in range(m.num_row_groups)) for c in range(4)]
+    assert rows == n * (n - 1) and size[2] < rows / 4  # of ranks; 11 bits a row where they run through for each vertex
+
+
 def test_all_pairs_are_found_where_the_origins_are(spark, monkeypatch):
     edges = [(i, i + 1) for i in range(90)] + [(3, 60), (100, 101), (101, 100)]
     g = graph(spark, edges)
